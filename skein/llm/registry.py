@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import pii, quality, secrets
+from skein.llm import mixing, packing, pii, quality, secrets
 from skein.llm.sql import SQL
 from skein.sources.tables import table
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizers' files are; every executor has them installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -19,12 +26,20 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), pii.trained(spark))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op5_secret_scans)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op4_mixing, op5_secret_scans, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import mixing, packing, pii, quality, secrets
+from skein.llm import chat, mixing, mpeg, packing, pii, quality, secrets
 from skein.llm.sql import SQL
 from skein.sources.tables import table
 
@@ -38,8 +38,17 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat.as_log(chat.probe(table(spark, sf_dir, "conversations")))
+    return chat.report(chat.format_log(log))
+
+
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg.features(mpeg.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op4_mixing, op5_secret_scans, op7_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op4_mixing, op5_secret_scans, op6_chat, op7_packing, op9_mpeg_audio)}
 
 
 def oracle_sql() -> dict[str, str]:

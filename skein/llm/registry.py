@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, mixing, mpeg, packing, pii, quality, secrets
+from skein.llm import chat, language, mixing, mpeg, packing, pii, quality, secrets, warc
 from skein.llm.sql import SQL
 from skein.sources.tables import table
 
@@ -43,12 +43,20 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_log(log))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
+def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.write(table(spark, sf_dir, "pages")))
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.features(mpeg.store(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op4_mixing, op5_secret_scans, op6_chat, op7_packing, op9_mpeg_audio)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op4_mixing, op5_secret_scans, op6_chat, op7_packing, op8_language, op9_mpeg_audio, op10_warc_zip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat, language, mixing, mpeg, packing, pii, quality, secrets, warc
+from skein.llm import chat, jaccard, language, mixing, mpeg, packing, pii, quality, secrets, warc
 from skein.llm.sql import SQL
 from skein.sources.tables import table
 
@@ -26,6 +26,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), pii.trained(spark))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op4_mixing, op5_secret_scans, op6_chat, op7_packing, op8_language, op9_mpeg_audio, op10_warc_zip)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_jaccard_join, op4_mixing, op5_secret_scans, op6_chat, op7_packing, op8_language, op9_mpeg_audio, op10_warc_zip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,6 +18,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,38 +40,71 @@ OUTPUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Tokens:
-    """Ids of texts, with the ids of words that were met before kept, ``KEPT`` at most.
+    """Ids of texts, with the ids of what was met before kept, ``KEPT`` entries at most.
 
-    The tokenizer drops white space and never joins what a space or line feed parts, so the ids
-    of a text are those of its parts.
+    The tokenizer drops white space, never joins what a space or line feed parts, and parts
+    letters from marks, so the ids of a text are those of its parts, and the ids of a word with
+    marks behind it are those of the word and of the marks. Words are kept without marks and in
+    lower case, as the tokenizer lowers them; letters beyond Latin-1 are left as they are.
     """
 
-    KEPT = 400_000
+    KEPT = 600_000
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.ends = np.array([i for i in (self.tokenizer.token_to_id(f"{c}</w>") for c in SENTENCE_ENDS) if i is not None], dtype=np.uint32)
 
-    def learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > self.KEPT:
-            self.known.clear()
-            new = list(parts)
-        for k in range(0, len(new), 5000):
-            some = new[k : k + 5000]
-            for part, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, dtype="<u4").tobytes()
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            yield text, np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        split, new = {}, set()
+        for p in missing:
+            word = p.rstrip(".,!?;:")
+            mark = p[len(word) :]
+            if not word.isalpha():
+                word, mark = p, ""
+            elif max(word) <= "\xff":
+                word = word.lower()
+            split[p] = (word, mark)
+            if word not in self.words:
+                new.add(word)
+            if mark not in self.marks:
+                self.marks[mark] = next(self._encoded([mark]))[1]
+        fresh = dict(self._encoded(list(new))) if new else {}
+        if len(self.words) < self.KEPT:
+            self.words.update(fresh)
+        made = {p: (fresh.get(word) or self.words.get(word, b"")) + self.marks[mark] for p, (word, mark) in split.items()}
+        if len(self.parts) < self.KEPT // 2:
+            self.parts.update(made)
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        return made
 
     def ids(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.known[p] for p in parts])
-        except KeyError:
-            self.learn(set(parts))
-            return b"".join([self.known[p] for p in parts])
+        found = list(map(self.parts.get, parts))
+        if None in found:
+            made = self._learn({p for p, f in zip(parts, found, strict=True) if f is None})
+            found = [made[p] if f is None else f for p, f in zip(parts, found, strict=True)]
+        return b"".join(found)
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One ``Tokens`` per worker process and file."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
 
 
 def cuts(docs: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +183,10 @@ class _Shards:
     path: str
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(self.path)
+        tokens = tokens_of(self.path)
         tail = np.array([END_ID], dtype="<u4")
         shard, ids, docs = None, [], []
         for batch in batches:
-            tokens.learn({p for t in batch["text"] for p in t.replace("\n", " ").split(" ")})
             for s, doc_id, text in zip(batch["_shard"], batch["doc_id"], batch["text"], strict=True):
                 if s != shard:
                     if docs:

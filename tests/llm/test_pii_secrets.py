@@ -97,5 +97,6 @@ def test_ownership(spark):
 
 
 def test_replaced(spark):
-    x = spans.replaced(F.lit("0123456789"), F.expr("from_json('[{"s":2,"k":0,"e":4},{"s":3,"k":1,"e":6},{"s":8,"k":0,"e":10}]', 'array<struct<s:int,k:int,e:int,v:string>>')"), "#")
+    made = F.from_json(F.lit('[{"s":2,"k":0,"e":4},{"s":3,"k":1,"e":6},{"s":8,"k":0,"e":10}]'), spans.SPAN)
+    x = spans.replaced(F.lit("0123456789"), made, "#")
     assert spark.range(1).select(x).first()[0] == "01#67#"

@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.components import components
-from skein.session import materialize
+from skein.session import materialize, release
 
 WORDS = 5
 PERCENT = 75
@@ -81,12 +81,13 @@ def base(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-_POSTED = "token long, node long, n int, pos int"
+#: ``place`` is n << 32 | pos + 1; a header's is n << 32 and its token the doc_id.
+_POSTED = "token long, node long, place long"
 
 
 @dataclass(frozen=True)
 class _Post:
-    """Headers (token is the doc_id, pos -1) and prefix tokens; copies in a partition post once."""
+    """Headers and prefix tokens; copies in a partition post once."""
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -96,14 +97,13 @@ class _Post:
                 ws = words(text)
                 s = shingles(ws)
                 key, n = node(ws), len(s)
-                part = np.array([doc_id])
-                pos = np.array([-1], dtype=np.int32)
+                part, pos = np.array([doc_id]), np.zeros(1, dtype=np.int64)
                 if n and key not in seen:
                     seen.add(key)
                     b = base(n)
                     k = min(n, b + max(MARGIN_LEAST, int(MARGIN * b)))
-                    part, pos = np.concatenate([part, s[:k]]), np.arange(-1, k, dtype=np.int32)
-                held.append((part, np.full(len(part), key), np.full(len(part), n, dtype=np.int32), pos))
+                    part, pos = np.concatenate([part, s[:k]]), np.arange(k + 1)
+                held.append((part, np.full(len(part), key), (n << 32) + pos))
                 size += len(part)
                 if size > 200_000:
                     yield self.frame(held)
@@ -113,7 +113,7 @@ class _Post:
 
     @staticmethod
     def frame(held) -> pd.DataFrame:
-        return pd.DataFrame({name: np.concatenate([h[i] for h in held]) for i, name in enumerate(("token", "node", "n", "pos"))})
+        return pd.DataFrame({name: np.concatenate([h[i] for h in held]) for i, name in enumerate(("token", "node", "place"))})
 
 
 _CHOSEN = "token long, kind string, node long, n int, spare int, rarity int"
@@ -190,10 +190,12 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _postings(docs: DataFrame) -> DataFrame:
     """Headers, and prefix tokens that two nodes or more hold, each once, with ``count``."""
     posted = docs.select("doc_id", "text").mapInPandas(_Post(), _POSTED)
-    run = W.partitionBy("token", F.col("pos") < 0)
-    new = F.when((F.col("pos") < 0) | ~F.lag("node").over(run.orderBy("node")).eqNullSafe(F.col("node")), 1).otherwise(0)
-    df = posted.withColumn("_new", new).withColumn("count", F.sum("_new").over(run).cast("int"))
-    return materialize(df.filter("pos < 0 or (_new = 1 and count > 1)").drop("_new"), "postings")
+    head = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) == 0
+    run = W.partitionBy("token", head)
+    new = F.when(head | ~F.lag("node").over(run.orderBy("node")).eqNullSafe(F.col("node")), 1).otherwise(0)
+    df = posted.withColumn("_new", new).withColumn("count", F.sum("_new").over(run).cast("int")).filter(head | ((F.col("_new") == 1) & (F.col("count") > 1)))
+    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - 1
+    return materialize(df.select("token", "node", n.alias("n"), pos.alias("pos"), "count"), "postings")
 
 
 def _light_pairs(chosen: DataFrame) -> DataFrame:
@@ -218,10 +220,12 @@ def _banded(df: DataFrame, spread: bool) -> DataFrame:
 def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """Headers (doc_id, node, n) and the labels of all linked nodes."""
     table = _postings(docs)
+    release(docs.sparkSession)
     heads = table.filter("pos < 0").select(F.col("token").alias("doc_id"), "node", "n")
     shared = table.filter("pos >= 0").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "count"))).alias("shared"))
     chosen = materialize(shared.mapInPandas(_Choose(heavy), _CHOSEN), "prefixes")
     light = materialize(_light_pairs(chosen), "light")
+    release(docs.sparkSession)
     probes = _banded(chosen.filter("kind = 'probe'").select("token", "node", "n", "rarity"), True)
     posts = _banded(chosen.filter("kind = 'heavy'").select("token", "node", "n"), False)
 
@@ -240,6 +244,7 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", "text").join(chosen_docs, "doc_id").dropDuplicates(["node"])
     sets = materialize(texts.select("node", "text").mapInPandas(_Sets(), "node long, tokens array<long>"), "sets")
 
+    release(docs.sparkSession)
     found = materialize(verify(first, sets), "links")
     labels = materialize(components(found), "labels")
 

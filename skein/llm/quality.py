@@ -127,7 +127,8 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] | N
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.failed(), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs, keep).withColumn("fail_bits", bits)
+    # the row number keeps filters on the bits above the measurements: pushed below, they would repeat them
+    return measure(docs, keep).withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits))
 
 
 def fails(policy: Policy) -> Column:

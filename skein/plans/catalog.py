@@ -1,15 +1,446 @@
-"""Registered queries of the engine's own operators and their SQL counterparts."""
+"""Registered queries of the engine's own operators and their SQL counterparts.
+
+The tables stand in for tracks as follows: ``embeddings`` is the gallery (label = identity,
+vec_id modulo 4 = camera), ``events`` are observations (user = track, value = x, props.k = y),
+``lineitem`` rows are boxes, ``customer`` ids form a merge forest.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from skein.functions import geometry, naming, vectors
+from skein.operators import clustering, fusion, identity, metrics, predicates, search, selection, tables, temporal, tracks
+from skein.operators.components import components
+from skein.plans.sql import SQL
+from skein.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _gallery(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def _query_set(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 20."""
+    return _gallery(spark, d).filter("vec_id % 20 = 0")
+
+
+def _one(spark: SparkSession, d: str) -> DataFrame:
+    return _gallery(spark, d).orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+
+
+def seconds(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")) / 1e6
+
+
+def _observations(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "events")
+    y = F.get_json_object("props", "$.k").cast("double")
+    return df.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("frame"), seconds(F.col("ts")).alias("ts"), F.col("value").alias("x"), F.coalesce(y, F.lit(0.0)).alias("y"), "event_type")
+
+
+def _boxes(spark: SparkSession, d: str, shift: float) -> DataFrame:
+    """A box per order line: its order is the frame, its part the identity."""
+    line = table(spark, d, "lineitem")
+    x, y = F.col("l_linenumber") * 10 + shift, F.col("l_linenumber") * 5 + shift * 2
+    return line.select(F.lit("f").alias("feed"), F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + 10 + F.col("l_quantity")).alias("x2"), (y + 20 + F.col("l_quantity") / 2).alias("y2"))
+
+
+def _tracks(spark: SparkSession, d: str) -> DataFrame:
+    g = _gallery(spark, d)
+    return g.select(F.concat(F.lit("clip"), F.col("vec_id") % 4).alias("feed"), F.col("vec_id").alias("track_id"), F.col("label").cast("string").alias("class_label"), "embedding")
+
+
+def _forest(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    parent = F.when(F.col("c_custkey") % 5 != 0, F.floor(F.col("c_custkey") / 2))
+    return c.select(F.col("c_custkey").alias("node"), F.when(parent > 0, parent).alias("parent"))
+
+
+# Search
+
+
+@query
+def knn_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.knn(_gallery(spark, d), _one(spark, d), 10)
+
+
+@query
+def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return search.knn(_gallery(spark, d), _one(spark, d), 10, predicates.compile_where({"label": 3}))
+
+
+@query
+def knn_multi_query(spark: SparkSession, d: str) -> DataFrame:
+    return search.knn_sets(_query_set(spark, d), _gallery(spark, d), 10).withColumnRenamed("score", "distance")
+
+
+@query
+def euclidean_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = search.knn_sets(_query_set(spark, d), _gallery(spark, d), 5, "euclidean")
+    return hits.select("query_id", "item_id", F.round("score", 4).alias("distance"), "rank")
+
+
+@query
+def cosine_distance_edge(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(0, None, [1.0]), (1, [], []), (2, [1.0], [1.0, 2.0]), (3, [0.0, 0.0], [1.0, 2.0]), (4, [1.0, 2.0], [1.0, 2.0]), (5, [1.0, 0.0], [-1.0, 0.0]), (6, [1.0, 0.0], [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
+    vectors.register(spark)
+    a, b = F.col("a"), F.col("b")
+    return df.select(
+        "id", F.round(vectors.cosine_distance(a, b), 6).alias("distance"), F.round(vectors.cosine(a, b), 6).alias("similarity"),
+        F.round(vectors.similarity_score(a, b), 6).alias("score"), F.round(F.expr("cosine_distance(a, b)"), 6).alias("by_sql"),
+    )
+
+
+@query
+def all_pairs_stats(spark: SparkSession, d: str) -> DataFrame:
+    return search.pair_stats(_gallery(spark, d))
+
+
+@query
+def hybrid_keyword_score(spark: SparkSession, d: str) -> DataFrame:
+    """Segments as classes, asked for in words; the best customers first."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("class_label"), (F.col("c_acctbal") / 9999).alias("_s"))
+    scored = search.hybrid(c, "a red truck near the building", F.when(F.col("_s") > 0, F.col("_s")))
+    return scored.select("c_custkey", "score")
+
+
+# Vectors by group
+
+
+def _element_wise(spark: SparkSession, d: str, how: str) -> DataFrame:
+    return fusion.element_wise(_gallery(spark, d), "label", how).select("label", "pos", F.round("value", 6).alias("value"))
+
+
+@query
+def vec_mean_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _element_wise(spark, d, "mean")
+
+
+@query
+def vec_max_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _element_wise(spark, d, "max")
+
+
+@query
+def vec_last_by_label(spark: SparkSession, d: str) -> DataFrame:
+    return _element_wise(spark, d, "last")
+
+
+@query
+def attention_pool(spark: SparkSession, d: str) -> DataFrame:
+    g = _gallery(spark, d).withColumn("track_id", F.col("label").cast("long"))
+    return fusion.pooled(g, "attention")
+
+
+@query
+def assignment_match(spark: SparkSession, d: str) -> DataFrame:
+    return identity.match_feeds(_tracks(spark, d), 0.3)
+
+
+@query
+def global_identities(spark: SparkSession, d: str) -> DataFrame:
+    t = _tracks(spark, d)
+    return identity.identities(t, identity.match_feeds(t, 0.3))
+
+
+@query
+def fps_diversity(spark: SparkSession, d: str) -> DataFrame:
+    g = _gallery(spark, d).select(F.col("label").cast("long").alias("identity"), "vec_id", (F.col("vec_id") % 4).alias("camera"), F.col("vec_id").cast("double").alias("ts"), F.lit(1.0).alias("quality"), "embedding")
+    return selection.representatives(g)
+
+
+@query
+def kmeans_summary(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.summary(clustering.kmeans(_gallery(spark, d), 10), "label")
+
+
+@query
+def plane_projection(spark: SparkSession, d: str) -> DataFrame:
+    return clustering.plane(_gallery(spark, d)).select("vec_id", "px", "py")
+
+
+# Evaluation
+
+
+@query
+def reid_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The query set against all vectors, its own included, as the harness does."""
+    ranked = search.knn_sets(_query_set(spark, d), _gallery(spark, d), None, "similarity")
+    of = lambda c, to: _gallery(spark, d).select(F.col("vec_id").alias(c), F.col("label").alias(to))
+    hits = ranked.join(of("query_id", "ql"), "query_id").join(of("item_id", "gl"), "item_id")
+    return metrics.reid(hits.select("query_id", "rank", (F.col("ql") == F.col("gl")).cast("int").alias("hit")))
+
+
+@query
+def nl_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events by value are a ranked answer; purchases are right; users of a residue are a group."""
+    e = table(spark, d, "events")
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    df = e.select((F.col("user_id") % 7).alias("target"), F.col("user_id").alias("query_id"), rank.alias("rank"), (F.col("event_type") == "purchase").cast("int").alias("hit"))
+    return metrics.retrieval(df, "target")
+
+
+@query
+def frame_match_counts(spark: SparkSession, d: str) -> DataFrame:
+    pairs = metrics.frame_pairs(_boxes(spark, d, 0.0), _boxes(spark, d, 2.0), 0.3)
+    return pairs.groupBy("frame").agg(F.count("*").alias("n_pairs"), F.round(F.max("iou"), 6).alias("best"))
+
+
+@query
+def mot_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.tracking(_boxes(spark, d, 0.0), _boxes(spark, d, 2.0))
+
+
+# Filters and joins
+
+
+@query
+def where_compiler(spark: SparkSession, d: str) -> DataFrame:
+    where = {"$and": [{"event_type": "click"}, {"value": {"$gte": 10, "<": 60.5}}], "user_id": {"$gt": 3, "$unknown": 1}}
+    return table(spark, d, "events").filter(predicates.compile_where(where)).select("event_id", "user_id", "value")
+
+
+@query
+def metadata_fallback(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "event_type", "value")
+    first = e.filter(F.col("event_type") == "view")
+    return tables.with_fallback(first, e, predicates.compile_where({"event_type": "error"}), ["event_id"], 20)
+
+
+@query
+def temporal_context(spark: SparkSession, d: str) -> DataFrame:
+    """Per error the events of its user within an hour before or after."""
+    e = table(spark, d, "events").select("user_id", "event_id", seconds(F.col("ts")).alias("ts"), "event_type")
+    near = temporal.band_join(e.filter("event_type = 'error'"), e, ["user_id"], "ts", 3600.0)
+    return near.groupBy("event_id").agg(F.count("*").alias("n"), F.min("event_id_2").alias("first_id"), F.max("event_id_2").alias("last_id"))
+
+
+@query
+def overlap_join_15s(spark: SparkSession, d: str) -> DataFrame:
+    """Events as intervals of ``value`` minutes; overlapping ones of a user, 15 s apart at most."""
+    e = table(spark, d, "events").select("user_id", "event_id", seconds(F.col("ts")).alias("start"))
+    v = table(spark, d, "events").select("event_id", "value")
+    e = e.join(v, "event_id").withColumn("end", F.col("start") + F.abs("value") * 60).drop("value")
+    met = temporal.overlap_join(e, e, ["user_id"], "start", "end", 15.0, 7200.0).filter("event_id < event_id_2")
+    return met.groupBy("user_id").agg(F.count("*").alias("n_pairs"))
+
+
+@query
+def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_id", seconds(F.col("ts")).alias("ts"), "event_type")
+    views = e.filter("event_type = 'view'").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))
+    found = temporal.nearest(e.filter("event_type = 'purchase'"), views, ["user_id"], "ts", ["event_id"])
+    return found.select("event_id", F.col("match.event_id").alias("view_id"))
+
+
+@query
+def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = metrics.frame_pairs(_boxes(spark, d, 0.0), _boxes(spark, d, 2.0), 0.5)
+    return pairs.select("frame", "truth_id", "found_id", F.round("iou", 6).alias("iou"))
+
+
+@query
+def track_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders, compared with those of the customer before: time, size, overall."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("a")).agg(
+        F.min(seconds(F.col("o_orderdate"))).alias("s"), F.max(seconds(F.col("o_orderdate"))).alias("e"), F.avg("o_totalprice").alias("w"), F.count("*").cast("double").alias("h"),
+    )
+    b = o.select((F.col("a") + 1).alias("a"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("w").alias("w2"), F.col("h").alias("h2"))
+    time = geometry.temporal_iou(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))
+    size = geometry.size_similarity(F.col("w"), F.col("h"), F.col("w2"), F.col("h2"))
+    return o.join(b, "a").select(F.col("a").alias("track"), F.round(time, 6).alias("time"), F.round(size, 6).alias("size"), F.round((0.2 * size + 0.15 * (0.7 * time + 0.15)) / 0.35, 6).alias("overall"))
+
+
+# Tables, names, graphs
+
+
+@query
+def video_catalog(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    a = e.select(F.concat(F.lit("clip"), F.col("user_id"), F.lit(".mp4")).alias("video_name"))
+    b = table(spark, d, "supplier").select(F.concat(F.lit("S01_c"), F.lpad(F.col("s_nationkey").cast("string"), 3, "0"), F.lit(".avi")).alias("video_name"))
+    return tables.catalogue([a, b])
+
+
+@query
+def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    return tables.upsert(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
+
+
+@query
+def class_sets(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    a, b = (line.filter(F.col("l_returnflag") == f).select("l_partkey").distinct() for f in ("A", "R"))
+    tagged = [(a.intersect(b), "both"), (a.subtract(b), "only_a"), (a.union(b).distinct(), "any"), (tables.missing(b, a, ["l_partkey"]), "gone")]
+    return tagged[0][0].withColumn("kind", F.lit("both")).unionByName(tagged[1][0].withColumn("kind", F.lit("only_a"))).unionByName(tagged[2][0].withColumn("kind", F.lit("any"))).unionByName(tagged[3][0].withColumn("kind", F.lit("gone"))).groupBy("kind").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("total"))
+
+
+@query
+def master_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return identity.masters(_forest(spark, d)).withColumn("master", F.col("master").cast("long"))
+
+
+@query
+def connected_components(spark: SparkSession, d: str) -> DataFrame:
+    return components(_forest(spark, d).filter("parent is not null").select(F.col("node").alias("x"), F.col("parent").alias("y")))
+
+
+@query
+def pivot_counts(spark: SparkSession, d: str) -> DataFrame:
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    return table(spark, d, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query
+def mode_with_tie(spark: SparkSession, d: str) -> DataFrame:
+    return tables.mode(table(spark, d, "events"), ["user_id"], "event_type")
+
+
+@query
+def top3_per_cluster(spark: SparkSession, d: str) -> DataFrame:
+    by = table(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n"))
+    return selection.best_per(by, ["l_returnflag"], 3, "n", "l_suppkey")
+
+
+@query
+def variant_meta(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.concat(F.lit("bad:"), F.col("event_type"))).alias("p"))
+    v = e.withColumn("v", tables.parsed_json(F.col("p")))
+    return v.select("event_id", F.coalesce(F.try_variant_get("v", "$.k", "long"), F.lit(-1)).alias("k"), F.try_variant_get("v", "$.raw", "string").alias("raw"))
+
+
+@query
+def names_and_keys(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "part").select("p_partkey", "p_size", F.concat(F.lit("c006_vdo.avi_"), F.col("p_partkey")).alias("key"))
+    feed, track = naming.track_key_parts(F.col("key"))
+    crop = F.concat(F.lit("frame_"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_t"), F.col("p_size"), F.lit(".50"))).otherwise(F.lit("")), F.lit(".jpg"))
+    frame, time = naming.crop_fields(crop)
+    return s.select("p_partkey", feed.alias("feed"), track.alias("track"), frame.alias("frame"), F.round(time, 6).alias("time"), naming.class_name(F.col("p_size") % 9).alias("class_label"), naming.iso_time(F.col("p_size") * 0.25).alias("iso"))
+
+
+# Tracks
+
+
+@query
+def velocity_heading(spark: SparkSession, d: str) -> DataFrame:
+    df = tracks.velocities(_observations(spark, d))
+    return df.select("track_id", "frame", F.round("vx", 4).alias("vx"), F.round("vy", 4).alias("vy"), F.round("heading", 4).alias("heading"))
+
+
+@query
+def central_diff(spark: SparkSession, d: str) -> DataFrame:
+    df = _observations(spark, d)
+    return df.select("track_id", "frame", F.round(tracks.central(df, "x"), 6).alias("dx"), F.round(tracks.central(df, "y"), 6).alias("dy"))
+
+
+@query
+def arc_length(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.arc_length(_observations(spark, d)).select("track_id", "frame", F.round("arc", 4).alias("arc"))
+
+
+@query
+def run_length(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("frame"))
+    return tracks.longest_run(days)
+
+
+@query
+def lifecycle_events(spark: SparkSession, d: str) -> DataFrame:
+    df = tracks.lifecycle(_observations(spark, d), 86400.0)
+    return df.groupBy("track_id", "event_type").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"))
+
+
+@query
+def linear_fit(spark: SparkSession, d: str) -> DataFrame:
+    df = _observations(spark, d).withColumn("ts", (F.col("ts") - 1704067200) / 86400)
+    fit = tracks.linear_fit(df)
+    return fit.select("track_id", *(F.round(c, 4).alias(c) for c in fit.columns[1:]))
+
+
+@query
+def cleared_frame(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    df = line.select(F.col("l_partkey").alias("track_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("double").alias("ts"), (F.col("l_quantity") + 10).alias("w"), (F.col("l_linenumber") * 5 + 10.0).alias("h"), (1 - F.col("l_discount")).alias("conf"))
+    return tracks.cleared_frame(df).select("track_id", "frame", F.round("score", 4).alias("score"))
+
+
+@query
+def min_gap_thinning(spark: SparkSession, d: str) -> DataFrame:
+    by = _observations(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("ts")).alias("at"))
+    return by.select("track_id", F.explode(temporal.thinned(F.col("at"), 86400.0)).alias("ts"))
+
+
+@query
+def downsample_count(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.every_kth(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id", "frame")
+
+
+@query
+def ema_smoothing(spark: SparkSession, d: str) -> DataFrame:
+    by = _observations(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("ts", "frame", "x"))).alias("r"))
+    return by.select("track_id", F.round(tracks.smoothed(F.transform("r", lambda r: r.x)), 6).alias("smoothed"))
+
+
+@query
+def compressed_tracks(spark: SparkSession, d: str) -> DataFrame:
+    df = _observations(spark, d).withColumn("ts", (F.col("ts") - 1704067200) / 3600).withColumn("w", F.col("x") / 10 + 20).withColumn("h", F.col("y") / 10 + 20)
+    return tracks.compressed(df).select("track_id", "n", F.size("segments").alias("n_segments"), "size_type", "total_distance", "avg_speed", "mean_error", "max_error")
+
+
+@query
+def intra_fusion(spark: SparkSession, d: str) -> DataFrame:
+    t = _tracks(spark, d)
+    at = (F.col("track_id") / 4).cast("double")
+    place = F.col("track_id") % 50
+    df = t.select("*", at.alias("start"), (at + 1).alias("end"), (at * 10).cast("long").alias("start_frame"), (at * 10 + 10).cast("long").alias("end_frame"), *(place.cast("double").alias(c) for c in ("start_x", "start_y", "end_x", "end_y")))
+    return fusion.fuse_within_feed(df, max_gap=60.0, least_similarity=0.3)
+
+
+@query
+def quality_gate_and_score(spark: SparkSession, d: str) -> DataFrame:
+    return _crops(spark, d).select("crop_id", "prune_reason", "quality")
+
+
+def _crops(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    df = line.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("crop_id"), F.col("l_suppkey").alias("identity"), (F.col("l_quantity") * 5).alias("width"), (F.col("l_linenumber") * 30.0).alias("height"),
+        (F.col("l_tax") * 3000 + 5).alias("mean"), (F.col("l_discount") * 1000).alias("contrast"), (F.col("l_extendedprice") / 100).alias("sharpness"), (1 - F.col("l_discount")).alias("confidence"),
+        (F.col("l_linenumber") - 1.0).alias("x1"), F.lit(10.0).alias("y1"),
+    )
+    return selection.gated(df)
+
+
+@query
+def top_per_identity(spark: SparkSession, d: str) -> DataFrame:
+    return selection.best_per(_crops(spark, d).filter("prune_reason is null"), ["identity"], 5, "quality", "crop_id").select("identity", "crop_id", "quality", "rank")
+
+
+@query
+def track_quality(spark: SparkSession, d: str) -> DataFrame:
+    o = _observations(spark, d)
+    by = o.groupBy("track_id").agg(F.count("*").alias("num_detections"), F.sum(F.col("y") / 100).alias("total_conf"), F.min("frame").alias("start_frame"), F.max("frame").alias("frame_id"), (F.count("*") * 0.9).alias("stability_sum"), F.sum((F.col("event_type") == "error").cast("int")).alias("recall_count"))
+    runs = run_length(spark, d)
+    return selection.track_quality(by.join(runs, "track_id")).select("track_id", F.round("quality", 6).alias("quality"))

@@ -17,8 +17,10 @@ rarest base - light of its heavy tokens, which every set posts. Linked pairs wit
 there. Both ways are exact; together they find every link.
 
 Only connectivity is asked, so pairs are verified in rounds: first each node with its best
-candidate and probes with a few hubs of each heavy token, then, of the rest, the pairs whose ends
-are still apart. A group of thousands of near copies thus costs about one pair per member.
+candidate, and probes with one hub of each heavy token, the holder with the largest share of heavy
+tokens, which for a group of copies is about the text they were made from; then, of all the rest,
+the pairs whose ends are still apart. A group of thousands of near copies thus costs a few pairs
+per member.
 
 Verification intersects the whole sets of the pair. Identity of words, shingles and texts is
 by 64-bit hashes.
@@ -48,7 +50,8 @@ PERCENT = 75
 HEAVY = 64
 #: Of the base prefix, how much more may be posted, and at least so many tokens.
 MARGIN, MARGIN_LEAST = 0.5, 8
-HUBS = 4
+#: Rounds of stars before the last, and the pairs from which a node counts as a hub.
+ROUNDS, HUB = 3, 16
 _MIX = tuple(xxhash.xxh64_intdigest(b"shingle", seed=i) | 1 for i in range(WORDS))
 
 
@@ -116,14 +119,15 @@ class _Post:
         return pd.DataFrame({name: np.concatenate([h[i] for h in held]) for i, name in enumerate(("token", "node", "place"))})
 
 
-_CHOSEN = "token long, kind string, node long, n int, spare int, rarity int"
+_CHOSEN = "token long, kind string, node long, n int, spare int, central int"
 
 
 @dataclass(frozen=True)
 class _Choose:
     """From a node's shared prefix tokens: which are paired, which probe and which are posted.
 
-    ``spare`` is what the overlap may hold besides shared light tokens: h + (n - L).
+    ``spare`` is what the overlap may hold besides shared light tokens: h + (n - L). ``central``
+    is the share of heavy tokens, largest for the text that a group's copies were made from.
     """
 
     heavy: int
@@ -145,9 +149,10 @@ class _Choose:
                 large = sorted((t for t in inside if t["count"] > self.heavy), key=lambda t: (t["count"], t["token"]))
                 h = len(large)
                 spare = h + n - length
-                rows += [(t["token"], "light", key, n, spare, 0) for t in inside if t["count"] <= self.heavy]
-                rows += [(t["token"], "heavy", key, n, spare, 0) for t in large]
-                rows += [(t["token"], "probe", key, n, spare, i) for i, t in enumerate(large[: max(0, b - (length - h))])]
+                tail = (key, n, spare, h * 1_000_000 // length)
+                rows += [(t["token"], "light", *tail) for t in inside if t["count"] <= self.heavy]
+                rows += [(t["token"], "heavy", *tail) for t in large]
+                rows += [(t["token"], "probe", *tail) for t in large[: max(0, b - (length - h))]]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHOSEN.split(", ")])
 
 
@@ -190,8 +195,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _postings(docs: DataFrame) -> DataFrame:
     """Headers, and prefix tokens that two nodes or more hold, each once, with ``count``."""
     posted = docs.select("doc_id", "text").mapInPandas(_Post(), _POSTED)
-    head = F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) == 0
-    run = W.partitionBy("token", head)
+    posted = posted.withColumn("_head", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) == 0)
+    head, run = F.col("_head"), W.partitionBy("token", "_head")  # one column, so both windows share a shuffle
     new = F.when(head | ~F.lag("node").over(run.orderBy("node")).eqNullSafe(F.col("node")), 1).otherwise(0)
     df = posted.withColumn("_new", new).withColumn("count", F.sum("_new").over(run).cast("int")).filter(head | ((F.col("_new") == 1) & (F.col("count") > 1)))
     n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - 1
@@ -217,6 +222,34 @@ def _banded(df: DataFrame, spread: bool) -> DataFrame:
     return df.withColumn("band", F.explode(F.array(band - 1, band, band + 1)) if spread else band)
 
 
+def _named(df: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Add ``label``, a node's component, or the node itself before any."""
+    if labels is None:
+        return df.withColumn("label", F.col("node"))
+    return df.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _apart_lists(posts: DataFrame) -> DataFrame:
+    """Tokens and bands whose holders, or those of the bands beside, are in several components."""
+    wide = posts.select("token", "label", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    return wide.groupBy("token", "band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "band")
+
+
+def _stars(probes: DataFrame, posts: DataFrame, labels: DataFrame | None, done: DataFrame | None) -> DataFrame:
+    """Each probe with the most central holder of each of its tokens that is in another component.
+
+    Nodes that were compared with many before are passed over, so every round has other hubs.
+    """
+    holders = _named(posts, labels)
+    if done is not None:
+        met = done.select(F.col("x").alias("node")).union(done.select("y")).groupBy("node").agg(F.count("*").alias("m")).filter(F.col("m") > HUB).select("node")
+        holders = holders.join(met, "node", "left_anti")
+    hub = holders.groupBy("token", "band").agg(F.max_by(F.struct("node", "n", "label"), F.struct("central", F.xxhash64("node"))).alias("h"))
+    asked = _named(probes, labels).join(hub, ["token", "band"])
+    met = asked.filter((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= PERCENT * F.greatest("n", "h.n")))
+    return met.select(F.col("h.node").alias("x"), F.col("node").alias("y"))
+
+
 def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """Headers (doc_id, node, n) and the labels of all linked nodes."""
     table = _postings(docs)
@@ -226,16 +259,8 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     chosen = materialize(shared.mapInPandas(_Choose(heavy), _CHOSEN), "prefixes")
     light = materialize(_light_pairs(chosen), "light")
     release(docs.sparkSession)
-    probes = _banded(chosen.filter("kind = 'probe'").select("token", "node", "n", "rarity"), True)
-    posts = _banded(chosen.filter("kind = 'heavy'").select("token", "node", "n"), False)
-
-    # first round: best partners, and hubs of the probed tokens
-    best = [light.groupBy(e).agg(F.max_by(F.struct("x", "y"), F.struct("c", -F.col(o))).alias("p")).select("p.*") for e, o in (("x", "y"), ("y", "x"))]
-    salt = F.pmod(F.col("token"), F.lit(HUBS))
-    hub = probes.groupBy("token", "band").agg(F.min_by("node", F.xxhash64("node", salt)).alias("hub"), F.min_by("n", F.xxhash64("node", salt)).alias("n2"))
-    stars = posts.join(hub, ["token", "band"]).filter((F.col("hub") != F.col("node")) & _near("n", "n2"))
-    stars = stars.select(F.col("hub").alias("x"), F.col("node").alias("y"))
-    first = materialize(best[0].union(best[1]).union(stars).distinct(), "first")
+    probes = _banded(chosen.filter("kind = 'probe'").select("token", "node", "n"), True)
+    posts = _banded(chosen.filter("kind = 'heavy'").select("token", "node", "n", "central"), False)
 
     # whole sets of all nodes that a pair may name
     partners = posts.join(probes.select("token", "band").distinct(), ["token", "band"], "left_semi").select("node")
@@ -243,19 +268,27 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     chosen_docs = heads.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
     texts = docs.select("doc_id", "text").join(chosen_docs, "doc_id").dropDuplicates(["node"])
     sets = materialize(texts.select("node", "text").mapInPandas(_Sets(), "node long, tokens array<long>"), "sets")
-
     release(docs.sparkSession)
-    found = materialize(verify(first, sets), "links")
-    labels = materialize(components(found), "labels")
-
-    # second round: all that is still apart
-    rest = _apart(light.select("x", "y"), labels)
-    named = lambda df, to: df.join(labels.select("node", "label"), "node", "left").withColumn(to, F.coalesce("label", "node")).drop("label")
-    asked = named(probes, "l1").select("token", "band", F.col("node").alias("x"), F.col("n").alias("n1"), "l1")
-    held = named(posts, "l2").select("token", "band", F.col("node").alias("y"), F.col("n").alias("n2"), "l2")
+
+    # first rounds: best partners, and the most central holder of each probed token
+    best = [light.groupBy(e).agg(F.max_by(F.struct("x", "y"), F.struct("c", -F.col(o))).alias("p")).select("p.*") for e, o in (("x", "y"), ("y", "x"))]
+    pairs = best[0].union(best[1])
+    done = found = labels = None
+    for _ in range(ROUNDS):
+        pairs = pairs.union(_stars(probes, posts, labels, done)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"), "pairs")
+        links_ = materialize(verify(pairs, sets), "links")
+        done, found = (pairs, links_) if done is None else (done.union(pairs), found.union(links_))
+        labels = materialize(components(found), "labels")
+        release(docs.sparkSession)
+        pairs = pairs.limit(0)
+
+    # last round: all that is still apart
+    lists = _apart_lists(_named(posts, labels))
+    asked = _named(probes, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("label").alias("l1"))
+    held = _named(posts, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("label").alias("l2"))
     more = asked.join(held, ["token", "band"]).filter((F.col("l1") != F.col("l2")) & _near("n1", "n2")).select("x", "y")
-    rest = rest.union(more).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    done = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rest = _apart(light.select("x", "y"), labels).union(more).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     last = materialize(verify(rest.join(done, ["x", "y"], "left_anti"), sets), "links")
     return heads, materialize(components(found.union(last)), "labels")
 

@@ -35,4 +35,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-SQL = {"op1_quality_rules": OP1}
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents
+),
+s AS (SELECT src, none, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY none, src) - 1) % 3 + 1] AS weight FROM s),
+r AS (
+  SELECT *, words * 2 / weight AS ratio,
+         1.5::DOUBLE * sum(words) OVER () - coalesce(sum(words * 2) OVER (ORDER BY words * 2 / weight, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+         sum(weight) OVER (ORDER BY words * 2 / weight, none, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM w
+),
+level AS (SELECT room, open FROM r WHERE room / open <= ratio ORDER BY ratio, none, src LIMIT 1),
+t AS (
+  SELECT src, none, words, CASE WHEN level.room IS NULL OR weight * level.room / level.open >= words * 2 THEN words * 2.0::DOUBLE ELSE weight * level.room / level.open END AS target,
+         ('0x' || substr(md5('mix-1|' || src || '|' || none::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
+  FROM r LEFT JOIN level ON true
+),
+p AS (SELECT *, length(bin(size + 1)) AS power, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 4))::INT % 64 AS bucket FROM d),
+k AS (
+  SELECT p.*, words, target, start, CASE WHEN words > 0 THEN target / words ELSE 0 END AS each,
+         row_number() OVER (PARTITION BY src, none ORDER BY power * 8 + floor((size + 1) * 8 / 2.0::DOUBLE ** (power - 1)), bucket, size, doc_id) AS n
+  FROM p JOIN t USING (src, none)
+)
+SELECT doc_id, size, words AS source_size, target, ((floor(n * each + start) - floor((n - 1) * each + start)) * size)::BIGINT AS taken FROM k
+"""
+
+SQL = {"op1_quality_rules": OP1, "op4_mixing": OP4}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import materialize
+from skein.session import discard, materialize
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = digest(pairs)
     while True:
-        pairs = materialize(_star(_star(pairs, True), False), "stars")
+        last, pairs = pairs, materialize(_star(_star(pairs, True), False), "stars")
+        discard(last)
         after = digest(pairs)
         if after == before:
             break

@@ -55,7 +55,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -64,12 +66,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a frame that ``materialize`` made; it can't be read afterwards."""
-    for spark, path in list(_WRITTEN):
-        if any(path.split("://")[-1].split(":")[-1] in f for f in df.inputFiles()[:1]):
-            _remove(spark, path)
-            _WRITTEN.remove((spark, path))
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of frames that ``materialize`` returned; they can't be read afterwards."""
+    for df in frames:
+        entry = (df.sparkSession, df._written)
+        if entry in _WRITTEN:
+            _WRITTEN.remove(entry)
+            _remove(*entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -42,8 +42,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.components import components
-from skein.session import materialize, release
+from skein.operators.components import components
+from skein.session import discard, materialize, release
 
 WORDS = 5
 PERCENT = 75
@@ -274,12 +274,14 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     best = [light.groupBy(e).agg(F.max_by(F.struct("x", "y"), F.struct("c", -F.col(o))).alias("p")).select("p.*") for e, o in (("x", "y"), ("y", "x"))]
     pairs = best[0].union(best[1])
     done = found = labels = None
+    tried = []
     for _ in range(ROUNDS):
         pairs = pairs.union(_stars(probes, posts, labels, done)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"), "pairs")
         links_ = materialize(verify(pairs, sets), "links")
         done, found = (pairs, links_) if done is None else (done.union(pairs), found.union(links_))
         labels = materialize(components(found), "labels")
+        tried += [pairs, links_, labels]
         release(docs.sparkSession)
         pairs = pairs.limit(0)
 
@@ -290,7 +292,9 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     more = asked.join(held, ["token", "band"]).filter((F.col("l1") != F.col("l2")) & _near("n1", "n2")).select("x", "y")
     rest = _apart(light.select("x", "y"), labels).union(more).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     last = materialize(verify(rest.join(done, ["x", "y"], "left_anti"), sets), "links")
-    return heads, materialize(components(found.union(last)), "labels")
+    final = materialize(components(found.union(last)), "labels")
+    discard(chosen, light, sets, last, *tried)
+    return heads, final
 
 
 def classes(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:

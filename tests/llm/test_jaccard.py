@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from skein.llm import components, jaccard
+from skein.llm import jaccard
+from skein.operators import components
 
 SCHEMA = "doc_id long, text string, node int, n int"
 

@@ -48,7 +48,7 @@ class Tokens:
     lower case, as the tokenizer lowers them; letters beyond Latin-1 are left as they are.
     """
 
-    KEPT = 600_000
+    KEPT = 1_200_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores

@@ -8,6 +8,8 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,28 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package's code to the Python workers, once per application.
+
+    Not needed, and not done, where local workers find it by PYTHONPATH.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_skein_shipped", False):
+        return
+    context._skein_shipped = True
+    if context.master.startswith("local") and str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = Path(tempfile.mkdtemp(prefix="skein-code-")) / "skein.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted((root / "skein").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(made))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 

@@ -65,9 +65,10 @@ def test_pii_base(spark, texts):
 
 
 def test_pii_selects_by_context(spark):
-    texts = ["Phone: 212-555-0100 now", "order 212-555-0100 now", "SSN 123-45-6789.", "part 123-45-6789.", "write jane (at) corvid (dot) org", "sit at home.now", "IBAN DE12 5001 0517 5407 3249 x"]
+    texts = ["Phone: 212-555-0100 now", "order 212-555-0100 now", "SSN 123-45-6789.", "part 123-45-6789.", "write jane (at) corvid (dot) org", "sit at home.now", "IBAN DE12 5001 0517 5407 3249 x", "tel. +49 30 123 456 789"]
     got = run(spark, texts, lambda d: pii.report(d, pii.trained(spark)))
-    assert [got[i].spans.split(":")[0] for i in range(len(texts))] == ["local_phone", "", "national_id", "", "hidden_email", "", "iban"]
+    assert [got[i].spans.split(":")[0] for i in range(len(texts))] == ["local_phone", "", "national_id", "", "hidden_email", "", "iban", "phone"]
+    assert "," not in got[7].spans
     docs = spark.createDataFrame([(0, texts[0] + " a@b.c")], "doc_id long, text string")
     assert pii.redact(docs, pii.trained(spark)).first().text == "Phone: [PII] now [PII]"
 

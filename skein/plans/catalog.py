@@ -18,6 +18,7 @@ from skein.operators import clustering, fusion, identity, metrics, predicates, s
 from skein.operators.components import components
 from skein.plans.sql import SQL
 from skein.sources.tables import table
+from skein.streaming import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,3 +445,51 @@ def track_quality(spark: SparkSession, d: str) -> DataFrame:
     by = o.groupBy("track_id").agg(F.count("*").alias("num_detections"), F.sum(F.col("y") / 100).alias("total_conf"), F.min("frame").alias("start_frame"), F.max("frame").alias("frame_id"), (F.count("*") * 0.9).alias("stability_sum"), F.sum((F.col("event_type") == "error").cast("int")).alias("recall_count"))
     runs = run_length(spark, d)
     return selection.track_quality(by.join(runs, "track_id")).select("track_id", F.round("quality", 6).alias("quality"))
+
+
+def _moving(spark: SparkSession, d: str) -> DataFrame:
+    df = _observations(spark, d).withColumn("ts", (F.col("ts") - 1704067200) / 3600)
+    return df.select("track_id", "frame", "ts", "x", "y", (F.col("x") / 10 + 20).alias("w"), (F.col("y") / 10 + 20).alias("h"))
+
+
+@query
+def compression_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Per track how far the boxes rebuilt from its models are from those observed."""
+    seen = _moving(spark, d).withColumns({f"o{i}": c for i, c in enumerate(geometry.from_center(*(F.col(c) for c in ("x", "y", "w", "h"))))})
+    rebuilt = tracks.reconstruct(tracks.compressed(seen), seen.select("track_id", "ts").distinct())
+    both = seen.join(rebuilt, ["track_id", "ts"]).withColumn("iou", geometry.iou([F.col(f"o{i}") for i in range(4)], [F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    off = F.sqrt(F.pow((F.col("x1") + F.col("x2")) / 2 - F.col("x"), 2) + F.pow((F.col("y1") + F.col("y2")) / 2 - F.col("y"), 2))
+    return both.groupBy("track_id").agg(F.avg(off).alias("mean_error"), F.max(off).alias("max_error"), F.avg("iou").alias("mean_iou"), F.min("iou").alias("min_iou"))
+
+
+@query
+def tracker_events(spark: SparkSession, d: str) -> DataFrame:
+    """The tracker over each kind of event as a feed, one box per event."""
+    o = _observations(spark, d)
+    frame = F.row_number().over(W.partitionBy("event_type").orderBy("ts", "frame")).cast("long")
+    box = geometry.from_xywh(F.floor("x").cast("double"), F.floor("y").cast("double"), F.lit(60.0), F.lit(60.0))
+    df = o.select(F.col("event_type").alias("feed"), frame.alias("frame"), "ts", F.lit(0).alias("det_idx"), *(c.alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True)), F.lit(0.9).alias("score"), F.lit(2).alias("class_id"), F.lit(None).cast("array<double>").alias("embedding"))
+    return lifecycle.track_batch(df).groupBy("feed", "event_type").agg(F.count("*").alias("n"), F.countDistinct("track_id").alias("n_tracks"))
+
+
+@query
+def mean_pool_prototypes(spark: SparkSession, d: str) -> DataFrame:
+    """Per label and camera one unit prototype."""
+    g = _gallery(spark, d).withColumn("track_id", F.col("label") * 4 + F.col("vec_id") % 4)
+    return fusion.pooled(g.withColumn("track_id", F.col("track_id").cast("long")), "mean")
+
+
+@query
+def crop_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Which crops to cut at each time: tracks sampled a day apart, gathered by whole hour."""
+    by = _observations(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("ts")).alias("at"))
+    picked = by.select("track_id", F.explode(temporal.thinned(F.col("at"), 86400.0)).alias("ts"))
+    return picked.groupBy(F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n_crops"), F.sort_array(F.collect_list("track_id")).alias("track_ids"))
+
+
+@query
+def merged_histories(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks and views of each user by day, views over clicks."""
+    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value", "event_type")
+    last = lambda kind: tables.upsert(e.filter(F.col("event_type") == kind), ["user_id", "day"], ["event_id"])
+    return tables.merged_history(last("click"), last("view"), ["user_id", "day"]).select("user_id", F.col("day").cast("string").alias("day"), "event_id", "event_type")

@@ -132,4 +132,6 @@ SQL = {
       i AS (SELECT track_id, frame - row_number() OVER (PARTITION BY track_id ORDER BY frame) AS isle FROM d),
       r AS (SELECT track_id, max(c) AS longest FROM (SELECT track_id, isle, count(*) AS c FROM i GROUP BY ALL) GROUP BY track_id)
       SELECT track_id, round(least(1, greatest(0, 0.3::DOUBLE * conf / n + 0.2::DOUBLE * least(1, (b - a + 1) / 100) + 0.3::DOUBLE * 0.9::DOUBLE + 0.2::DOUBLE * greatest(0, least(1, longest / 50) - 0.02::DOUBLE * recalls))), 6) AS quality FROM t JOIN r USING (track_id)""",
+    "merged_histories": """SELECT user_id, day::VARCHAR AS day, event_id, event_type FROM (SELECT user_id, ts::DATE AS day, event_id, event_type FROM events WHERE event_type IN ('click', 'view'))
+      QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_type DESC, event_id DESC) = 1""",
 }

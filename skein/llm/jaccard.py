@@ -14,7 +14,9 @@ sets still share a light token, and a pair must share as many light ones as the
 
 before it is verified. A set that runs out of prefix (``MARGIN``) is a probe: besides, it asks the
 rarest base - light of its heavy tokens, which every set posts. Linked pairs with a probe are found
-there. Both ways are exact; together they find every link.
+there. For a partner of given size a probe misses at most n - least overlap tokens, and those that no
+possible partner holds are missed for sure, so later heavy tokens needn't be asked. Both ways are
+exact; together they find every link.
 
 Only connectivity is asked, so pairs are verified in rounds: first each node with its best
 candidate, and probes with one hub of each heavy token, the holder with the largest share of heavy
@@ -119,7 +121,7 @@ class _Post:
         return pd.DataFrame({name: np.concatenate([h[i] for h in held]) for i, name in enumerate(("token", "node", "place"))})
 
 
-_CHOSEN = "token long, kind string, node long, n int, spare int, central int"
+_CHOSEN = "token long, kind string, node long, n int, spare int, central int, rank int, place int"
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,8 @@ class _Choose:
     """From a node's shared prefix tokens: which are paired, which probe and which are posted.
 
     ``spare`` is what the overlap may hold besides shared light tokens: h + (n - L). ``central``
-    is the share of heavy tokens, largest for the text that a group's copies were made from.
+    is the share of heavy tokens, largest for the text that a group's copies were made from. A
+    probe's ``rank`` counts the heavy tokens before it, its ``place`` the light ones too.
     """
 
     heavy: int
@@ -150,15 +153,26 @@ class _Choose:
                 h = len(large)
                 spare = h + n - length
                 tail = (key, n, spare, h * 1_000_000 // length)
-                rows += [(t["token"], "light", *tail) for t in inside if t["count"] <= self.heavy]
-                rows += [(t["token"], "heavy", *tail) for t in large]
-                rows += [(t["token"], "probe", *tail) for t in large[: max(0, b - (length - h))]]
+                rows += [(t["token"], "light", *tail, 0, 0) for t in inside if t["count"] <= self.heavy]
+                rows += [(t["token"], "heavy", *tail, 0, 0) for t in large]
+                rows += [(t["token"], "probe", *tail, i, length - h + i) for i, t in enumerate(large[: max(0, b - (length - h))])]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHOSEN.split(", ")])
 
 
-def _near(a: str = "n", b: str = "n2") -> Column:
-    """Whether sizes allow a link."""
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) if a else F.lit(True)
+def _early(own: str, other: str) -> Column:
+    """Whether a linked pair of these sizes can have its first shared token here.
+
+    Before a probe ``before`` tokens are missed; at most own - least overlap may be.
+    """
+    near = 100 * F.least(own, other) >= PERCENT * F.greatest(own, other)
+    return near & (PERCENT * (F.col(own) + F.col(other)) <= (100 + PERCENT) * (F.col(own) - F.col("before")))
+
+
+def _alone(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Per node how many of its tokens no other member holds: so many are missed with any."""
+    each = sets.join(members, "node", "left_semi").select("node", F.explode("tokens").alias("token"))
+    single = each.groupBy("token").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1")
+    return single.groupBy("node").agg(F.count("*").alias("alone"))
 
 
 def _band(n: Column) -> Column:
@@ -246,7 +260,7 @@ def _stars(probes: DataFrame, posts: DataFrame, labels: DataFrame | None, done:
         holders = holders.join(met, "node", "left_anti")
     hub = holders.groupBy("token", "band").agg(F.max_by(F.struct("node", "n", "label"), F.struct("central", F.xxhash64("node"))).alias("h"))
     asked = _named(probes, labels).join(hub, ["token", "band"])
-    met = asked.filter((F.col("h.label") != F.col("label")) & (100 * F.least("n", "h.n") >= PERCENT * F.greatest("n", "h.n")))
+    met = asked.filter((F.col("h.label") != F.col("label")) & _early("n", "h.n"))
     return met.select(F.col("h.node").alias("x"), F.col("node").alias("y"))
 
 
@@ -259,7 +273,8 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     chosen = materialize(shared.mapInPandas(_Choose(heavy), _CHOSEN), "prefixes")
     light = materialize(_light_pairs(chosen), "light")
     release(docs.sparkSession)
-    probes = _banded(chosen.filter("kind = 'probe'").select("token", "node", "n"), True)
+    asking = chosen.filter("kind = 'probe'").select("token", "node", "n", "rank", "place")
+    probes = _banded(asking, True)
     posts = _banded(chosen.filter("kind = 'heavy'").select("token", "node", "n", "central"), False)
 
     # whole sets of all nodes that a pair may name
@@ -268,6 +283,10 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     chosen_docs = heads.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
     texts = docs.select("doc_id", "text").join(chosen_docs, "doc_id").dropDuplicates(["node"])
     sets = materialize(texts.select("node", "text").mapInPandas(_Sets(), "node long, tokens array<long>"), "sets")
+    alone = _alone(sets, partners.union(probes.select("node")).distinct())
+    asking = asking.join(alone, "node", "left").withColumn("before", F.greatest("place", F.col("rank") + F.coalesce("alone", F.lit(0)).cast("int")))
+    asking = materialize(asking.select("token", "node", "n", "before"), "probes")
+    probes = _banded(asking, True)
     release(docs.sparkSession)
 
     # first rounds: best partners, and the most central holder of each probed token
@@ -278,6 +297,8 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     for _ in range(ROUNDS):
         pairs = pairs.union(_stars(probes, posts, labels, done)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"), "pairs")
+        if done is not None and pairs.isEmpty():
+            break
         links_ = materialize(verify(pairs, sets), "links")
         done, found = (pairs, links_) if done is None else (done.union(pairs), found.union(links_))
         labels = materialize(components(found), "labels")
@@ -287,13 +308,13 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
 
     # last round: all that is still apart
     lists = _apart_lists(_named(posts, labels))
-    asked = _named(probes, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("label").alias("l1"))
+    asked = _named(probes, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", "before", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("label").alias("l1"))
     held = _named(posts, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    more = asked.join(held, ["token", "band"]).filter((F.col("l1") != F.col("l2")) & _near("n1", "n2")).select("x", "y")
+    more = asked.join(held, ["token", "band"]).filter((F.col("l1") != F.col("l2")) & _early("n1", "n2")).select("x", "y")
     rest = _apart(light.select("x", "y"), labels).union(more).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     last = materialize(verify(rest.join(done, ["x", "y"], "left_anti"), sets), "links")
     final = materialize(components(found.union(last)), "labels")
-    discard(chosen, light, sets, last, *tried)
+    discard(chosen, light, sets, asking, last, *tried)
     return heads, final
 
 

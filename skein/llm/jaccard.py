@@ -14,9 +14,10 @@ sets still share a light token, and a pair must share as many light ones as the
 
 before it is verified. A set that runs out of prefix (``MARGIN``) is a probe: besides, it asks the
 rarest base - light of its heavy tokens, which every set posts. Linked pairs with a probe are found
-there. For a partner of given size a probe misses at most n - least overlap tokens, and those that no
-possible partner holds are missed for sure, so later heavy tokens needn't be asked. Both ways are
-exact; together they find every link.
+there. For a partner of given size a probe misses at most n - least overlap tokens. Missed for sure
+are its light tokens and the heavy ones asked before, or the pair were found by them, and those that
+no possible partner holds; once their union, each token counted once, is too large, later heavy
+tokens needn't be asked. Both ways are exact; together they find every link.
 
 Only connectivity is asked, so pairs are verified in rounds: first each node with its best
 candidate, and probes with one hub of each heavy token, the holder with the largest share of heavy
@@ -169,10 +170,26 @@ def _early(own: str, other: str) -> Column:
 
 
 def _alone(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Per node how many of its tokens no other member holds: so many are missed with any."""
-    each = sets.join(members, "node", "left_semi").select("node", F.explode("tokens").alias("token"))
-    single = each.groupBy("token").agg(F.min("node").alias("node"), F.count("*").alias("c")).filter("c = 1")
-    return single.groupBy("node").agg(F.count("*").alias("alone"))
+    """Tokens that one member only holds, with their place in its set: missed with any other."""
+    each = sets.join(members, "node", "left_semi").select("node", F.posexplode("tokens").alias("pos", "token"))
+    single = each.groupBy("token").agg(F.min(F.struct("node", "pos")).alias("h"), F.count("*").alias("c")).filter("c = 1")
+    return single.select("h.node", "token", "h.pos")
+
+
+def _missed(asking: DataFrame, heavy: DataFrame, alone: DataFrame) -> DataFrame:
+    """Add ``before``, the tokens that are missed for sure where a pair first meets at this one.
+
+    These are the union of the prefix tokens that aren't heavy, the heavy ones asked earlier, and
+    the tokens that are ``alone``; each counts once.
+    """
+    ends = heavy.groupBy("node").agg((F.first("n") - F.first("spare") + F.count("*")).alias("_end"))  # the prefix's length
+    open_ = alone.join(ends, "node").join(heavy.select("node", "token", F.lit(True).alias("_heavy")), ["node", "token"], "left")
+    open_ = open_.filter((F.col("pos") >= F.col("_end")) | F.col("_heavy"))
+    beyond = open_.groupBy("node").agg(F.count("*").alias("_beyond"))
+    marked = asking.join(open_.select("node", "token", F.lit(1).alias("_one")), ["node", "token"], "left").join(beyond, "node", "left")
+    earlier = F.sum("_one").over(W.partitionBy("node").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
+    before = F.col("place") + F.coalesce("_beyond", F.lit(0)) - F.coalesce(earlier, F.lit(0))
+    return marked.withColumn("before", before.cast("int"))
 
 
 def _band(n: Column) -> Column:
@@ -284,7 +301,7 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", "text").join(chosen_docs, "doc_id").dropDuplicates(["node"])
     sets = materialize(texts.select("node", "text").mapInPandas(_Sets(), "node long, tokens array<long>"), "sets")
     alone = _alone(sets, partners.union(probes.select("node")).distinct())
-    asking = asking.join(alone, "node", "left").withColumn("before", F.greatest("place", F.col("rank") + F.coalesce("alone", F.lit(0)).cast("int")))
+    asking = _missed(asking, chosen.filter("kind = 'heavy'"), alone)
     asking = materialize(asking.select("token", "node", "n", "before"), "probes")
     probes = _banded(asking, True)
     release(docs.sparkSession)

@@ -80,3 +80,17 @@ def test_components(spark):
             if a != b:
                 want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+def test_heavy_tokens_of_no_partner_count_once(spark):
+    """Footers that only texts of far larger size share are heavy, though no partner holds them."""
+    fresh = lambda name, n: [f"{name}{k}" for k in range(n)]
+    passage, feet = fresh("p", 304), [fresh("a", 44), fresh("b", 44)]
+    rows = [" ".join(passage + foot) for foot in feet]
+    rows += [" ".join(fresh(f"l{k}x", 800) + feet[0] + fresh(f"m{k}x", 10) + feet[1]) for k in range(12)]
+    rows += [" ".join(fresh(f"s{k}x", 700) + passage) for k in range(20)]
+    rows = [(i, t, 0, 0) for i, t in enumerate(rows)]
+    want = brute(rows)
+    assert want[1] == (344, 0)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(3), 4).collect()}
+    assert got == want

@@ -29,8 +29,10 @@ Verification intersects the whole sets of the pair. Identity of words, shingles
 by 64-bit hashes.
 
 Defined cases: texts without words, or null, have the empty set and link with nothing, each its
-own component; texts under five words are one shingle; equal rows and equal ids fall into one
-component, of the smallest doc_id; other columns are ignored; an empty table gives an empty result.
+own component; texts under five words are one shingle; equal rows fall into one component, of the
+smallest doc_id; texts that don't link are apart, though their doc_id be equal; rows without doc_id
+link like others, and a component of such rows only has a null component_id; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,7 +89,8 @@ def base(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
-#: ``place`` is n << 32 | pos + 1; a header's is n << 32 and its token the doc_id.
+#: ``place`` is n << 32 | pos + 2. A header's pos is -1 and its token the doc_id; one without
+#: doc_id has pos -2 and the node as token.
 _POSTED = "token long, node long, place long"
 
 
@@ -99,17 +102,17 @@ class _Post:
         seen: set[int] = set()
         held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, missing, text in zip(batch["id"], batch["missing"], batch["text"], strict=True):
                 ws = words(text)
                 s = shingles(ws)
                 key, n = node(ws), len(s)
-                part, pos = np.array([doc_id]), np.zeros(1, dtype=np.int64)
+                part, pos = np.array([key if missing else doc_id], dtype=np.int64), np.array([-2 if missing else -1])
                 if n and key not in seen:
                     seen.add(key)
                     b = base(n)
                     k = min(n, b + max(MARGIN_LEAST, int(MARGIN * b)))
-                    part, pos = np.concatenate([part, s[:k]]), np.arange(k + 1)
-                held.append((part, np.full(len(part), key), (n << 32) + pos))
+                    part, pos = np.concatenate([part, s[:k]]), np.concatenate([pos, np.arange(k)])
+                held.append((part, np.full(len(part), key), (n << 32) + pos + 2))
                 size += len(part)
                 if size > 200_000:
                     yield self.frame(held)
@@ -223,14 +226,32 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select(pairs.columns)
 
 
+def _id() -> Column:
+    """The doc_id without nulls, which pandas would turn into floats."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+
+
+def _row(key: Column) -> Column:
+    """What names a row, never null; rows of equal doc_id and words share it."""
+    return F.struct(F.col("doc_id").isNull().alias("missing"), _id().alias("id"), key.alias("node"))
+
+
+def _node(text: str) -> Column:
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([node(words(t)) for t in texts], dtype="int64")
+
+    return of(F.col(text))
+
+
 def _postings(docs: DataFrame) -> DataFrame:
     """Headers, and prefix tokens that two nodes or more hold, each once, with ``count``."""
-    posted = docs.select("doc_id", "text").mapInPandas(_Post(), _POSTED)
-    posted = posted.withColumn("_head", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) == 0)
+    posted = docs.select(_id().alias("id"), F.col("doc_id").isNull().alias("missing"), "text").mapInPandas(_Post(), _POSTED)
+    posted = posted.withColumn("_head", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) < 2)
     head, run = F.col("_head"), W.partitionBy("token", "_head")  # one column, so both windows share a shuffle
     new = F.when(head | ~F.lag("node").over(run.orderBy("node")).eqNullSafe(F.col("node")), 1).otherwise(0)
     df = posted.withColumn("_new", new).withColumn("count", F.sum("_new").over(run).cast("int")).filter(head | ((F.col("_new") == 1) & (F.col("count") > 1)))
-    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - 1
+    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - 2
     return materialize(df.select("token", "node", n.alias("n"), pos.alias("pos"), "count"), "postings")
 
 
@@ -285,7 +306,7 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """Headers (doc_id, node, n) and the labels of all linked nodes."""
     table = _postings(docs)
     release(docs.sparkSession)
-    heads = table.filter("pos < 0").select(F.col("token").alias("doc_id"), "node", "n")
+    heads = table.filter("pos < 0").select(F.when(F.col("pos") == -1, F.col("token")).alias("doc_id"), "node", "n")
     shared = table.filter("pos >= 0").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "count"))).alias("shared"))
     chosen = materialize(shared.mapInPandas(_Choose(heavy), _CHOSEN), "prefixes")
     light = materialize(_light_pairs(chosen), "light")
@@ -297,8 +318,8 @@ def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     # whole sets of all nodes that a pair may name
     partners = posts.join(probes.select("token", "band").distinct(), ["token", "band"], "left_semi").select("node")
     needed = light.select(F.col("x").alias("node")).union(light.select("y")).union(partners).union(probes.select("node")).distinct()
-    chosen_docs = heads.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-    texts = docs.select("doc_id", "text").join(chosen_docs, "doc_id").dropDuplicates(["node"])
+    chosen_docs = heads.groupBy("node").agg(F.min(_row(F.col("node"))).alias("row")).join(needed, "node", "left_semi")
+    texts = docs.select(_row(_node("text")).alias("row"), "text").join(chosen_docs, "row").dropDuplicates(["node"])
     sets = materialize(texts.select("node", "text").mapInPandas(_Sets(), "node long, tokens array<long>"), "sets")
     alone = _alone(sets, partners.union(probes.select("node")).distinct())
     asking = _missed(asking, chosen.filter("kind = 'heavy'"), alone)

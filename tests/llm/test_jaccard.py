@@ -94,3 +94,32 @@ def test_heavy_tokens_of_no_partner_count_once(spark):
     assert want[1] == (344, 0)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(3), 4).collect()}
     assert got == want
+
+
+def near_copies(seed, n):
+    """Pairs of near copies, the copies apart from the texts."""
+    rng = random.Random(seed)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(n)]
+    return [" ".join(w) for w in texts], [" ".join([*w[:-2], "other", "end"]) for w in texts]
+
+
+def test_null_ids(spark):
+    """Null ids spoil no other row's tokens, and their own texts link."""
+    texts, copies = near_copies(5, 12)
+    big = 1234567890123456789
+    part = lambda rows: spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), SCHEMA)
+    first = part([(None, "without id", 0, 0), *((big + 2 * i, t, 0, 0) for i, t in enumerate(texts[:8]))])
+    second = part([(big + 2 * i + 1, t, 0, 0) for i, t in enumerate(copies[:8])])
+    # only null ids hold the text, or the copy too
+    third = part([(None, texts[8], 0, 0), (None, texts[9], 0, 0), (big + 101, copies[8], 0, 0), (None, copies[9], 0, 0)])
+    # one id, two texts, each with a copy
+    fourth = part([(7, texts[10], 0, 0), (7, texts[11], 0, 0), (8, copies[10], 0, 0), (9, copies[11], 0, 0)])
+    docs = first.union(second).union(third).union(fourth)
+    assert docs.rdd.getNumPartitions() == 4
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()), key=str)
+    want = [(big + k, 76, big + k - k % 2) for k in range(16)]
+    want += [(None, 1, None), (None, 76, big + 101), (big + 101, 76, big + 101), (None, 76, None), (None, 76, None)]
+    want += [(7, 76, 7), (7, 76, 7), (8, 76, 7), (9, 76, 7)]
+    assert got == sorted(want, key=str)
+    heads, labels = jaccard.links(docs)
+    assert labels.groupBy("label").count().count() == 12

@@ -226,6 +226,9 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return df.filter(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select(pairs.columns)
 
 
+_ROW = "_skein_row"
+
+
 def _id() -> Column:
     """The doc_id without nulls, which pandas would turn into floats."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
@@ -368,6 +371,15 @@ def classes(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component; equal rows once."""
-    kept = classes(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each component, that of the smallest doc_id, a null one last; equal rows once.
+
+    Rows are told apart by doc_id and words, so all components of texts with an equal doc_id, or
+    with none, keep a row. Rows with neither words nor doc_id all stay.
+    """
+    heads, labels = links(docs)
+    rows = _named(heads, labels).withColumn("row", _row(F.col("node")))
+    first = rows.filter("n > 0").groupBy("label").agg(F.min("row").alias(_ROW)).select(_ROW)
+    kept = first.union(rows.filter("n = 0 and doc_id is not null").select("row").distinct())
+    nameless = F.col("doc_id").isNull() & F.coalesce("text", F.lit("")).rlike(r"\A\s*\z")  # \s is what parts words
+    named = docs.filter(~nameless).withColumn(_ROW, _row(_node("text")))
+    return named.join(kept, _ROW, "left_semi").dropDuplicates([_ROW]).select(*docs.columns).union(docs.filter(nameless))

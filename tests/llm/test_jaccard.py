@@ -123,3 +123,20 @@ def test_null_ids(spark):
     assert got == sorted(want, key=str)
     heads, labels = jaccard.links(docs)
     assert labels.groupBy("label").count().count() == 12
+
+
+def test_representatives_by_row(spark):
+    """Rows without doc_id, and different texts with one doc_id, go only as duplicates."""
+    texts, copies = near_copies(6, 9)
+    kept = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (8, texts[5])]
+    kept += [(None, None), (None, ""), (None, " \n"), (5, ""), (6, None)]
+    gone = [(None, copies[1]), (9, copies[2]), (8, copies[4]), (None, copies[4]), (None, copies[5]), (5, "")]
+    both = [(None, texts[6]), (None, texts[6])]  # equal rows: once
+    rows = [(i, t, k, None) for k, (i, t) in enumerate(kept + gone + both)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), SCHEMA)
+    got = jaccard.representatives(docs)
+    assert got.schema == docs.schema
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    # of two near copies without doc_id either may stay
+    got = [(None, texts[1]) if r == (None, copies[1]) else r for r in got]
+    assert sorted(got, key=str) == sorted([*kept, both[0]], key=str)

@@ -9,7 +9,9 @@ length of a text is the sum of -log2 p over its bytes, and the shortest wins.
 
 Under frozen statistics the code length of a byte depends on ``ORDER`` + 1 bytes only. Bytes that
 no training text holds behave alike, so the trees are tabulated over the bytes that occur: a table
-of at most 257 ** (ORDER + 1) entries per language, whatever the corpus, which is broadcast.
+of at most 257 ** (ORDER + 1) entries per language, whatever the corpus, which is broadcast. Every
+label with a training text is learned. Languages are scored in groups whose tables fit, one pass
+over the texts each; code lengths don't depend on the grouping, and the shortest over all wins.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 where no labelled text could be learned from. Ties go to the first language by code point; long
@@ -18,7 +20,7 @@ texts are scored whole; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,12 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.session import discard, materialize
+
 ORDER = 2
 SAMPLE = 400
-#: Most languages that are learned, the most frequent ones; bounds the broadcast table.
+#: Most languages, and bytes of their tables, of a pass; one language is scored whatever its size.
 LANGUAGES = 32
+TABLES = 256 << 20
 FOLDS, HELD_OUT = 4, 2
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
+#: The best language so far, its code length, and the sum of 2 ** -(code length - shortest).
+_BEST = "lang string, bits double, odds double"
 
 
 def held_out() -> Column:
@@ -41,13 +47,16 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS)) == HELD_OUT
 
 
-def sample(docs: DataFrame, per_language: int = SAMPLE) -> dict[str, list[bytes]]:
-    """Training texts by language; at most ``LANGUAGES`` * ``per_language`` documents."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+def _known(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def sample(docs: DataFrame, names: list[str], per_language: int = SAMPLE) -> dict[str, list[bytes]]:
+    """Training texts of the languages; at most ``per_language`` documents each."""
+    known = _known(docs).filter(F.col("lang").isin(names))
     first = W.partitionBy("lang").orderBy("_h", "doc_id", "_t")
     keys = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
-    chosen = keys.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).join(F.broadcast(top), "lang").select("doc_id", "_t").distinct()
+    chosen = keys.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).select("doc_id", "_t").distinct()
     rows = known.withColumn("_t", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "_t"]).select("lang", "doc_id", "text").orderBy("lang", "doc_id", "text").toLocalIterator()
     found: dict[str, list[bytes]] = {}
     for r in rows:
@@ -132,32 +141,59 @@ def lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-@dataclass(frozen=True)
-class _Predict:
-    model: Broadcast
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = self.model.value
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            has = [bool(model.languages) and any(map(str.isalpha, t)) for t in texts]
-            names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            at = [k for k, h in enumerate(has) if h]
-            for c in range(0, len(at), 64):
-                some = at[c : c + 64]
-                bits = lengths(model, [texts[k].encode() for k in some])
-                best = bits.argmin(axis=1)
-                odds = np.exp2(np.minimum(bits.min(axis=1, keepdims=True) - bits, 0)).sum(axis=1)
-                for k, b, o in zip(some, best.tolist(), odds.tolist(), strict=True):
-                    names[k], scores[k] = model.languages[b], 1 / o
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": scores})
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of ``PREDICTED``; only the text decides."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(_Predict(shared), PREDICTED)
+def models(docs: DataFrame) -> Iterator[Model]:
+    """All languages of the training texts in groups, by code point."""
+    names = sorted(r["lang"] for r in _known(docs).select("lang").distinct().collect())
+    for k in range(0, len(names), LANGUAGES):
+        texts = sample(docs, names[k : k + LANGUAGES])
+        occur = len(set().union(*(t for some in texts.values() for t in some)))
+        each = max(1, TABLES // (4 * (occur + 1) ** (ORDER + 1)))
+        some = sorted(texts)
+        for j in range(0, len(some), each):
+            yield fit({name: texts[name] for name in some[j : j + each]})
+
+
+def _scored(shared: Broadcast) -> Callable[..., Column]:
+    """From text and ``_BEST`` of the groups before to ``_BEST`` with this group."""
+
+    @F.pandas_udf(_BEST)
+    def best(texts: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        model = shared.value
+        names, least, odds = before["lang"].tolist(), before["bits"].to_numpy(copy=True), before["odds"].to_numpy(copy=True)
+        texts = [t or "" for t in texts]
+        at = np.array([k for k, t in enumerate(texts) if any(map(str.isalpha, t))], dtype=np.int64)
+        for c in range(0, len(at), 64):
+            some = at[c : c + 64]
+            bits = lengths(model, [texts[k].encode() for k in some])
+            low = bits.min(axis=1)
+            for k, b, better in zip(some.tolist(), bits.argmin(axis=1).tolist(), (low < least[some]).tolist(), strict=True):
+                if better:
+                    names[k] = model.languages[b]
+            both = np.minimum(low, least[some])
+            odds[some] = odds[some] * np.exp2(both - least[some]) + np.exp2(both[:, None] - bits).sum(axis=1)
+            least[some] = both
+        return pd.DataFrame({"lang": names, "bits": least, "odds": odds})
+
+    return best
+
+
+def predict(docs: DataFrame, groups: Iterable[Model]) -> DataFrame:
+    """``doc_id``, ``held_out``, ``lang_pred`` and ``score``; only the text decides."""
+    start = F.struct(F.lit("und").alias("lang"), F.lit(float("inf")).alias("bits"), F.lit(0.0).alias("odds"))
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text", start.alias("_best"))
+    shared = written = None
+    for model in groups:
+        if shared is not None:
+            rows = materialize(rows, "languages")
+            shared.unpersist()
+            if written is not None:
+                discard(written)
+            written = rows
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        rows = rows.withColumn("_best", _scored(shared)("text", "_best"))
+    score = F.when(F.col("_best.odds") > 0, 1 / F.col("_best.odds")).otherwise(F.lit(0.0))
+    return rows.select("doc_id", "held_out", F.col("_best.lang").alias("lang_pred"), score.alias("score"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return predict(docs, fit(sample(docs)))
+    return predict(docs, models(docs))

@@ -104,3 +104,23 @@ def test_predictions(spark):
     assert [by[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "en"] and by[900].score == 0
     assert all(0 <= r.score <= 1 for r in got)
     assert language.report(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """More labels than a pass scores: as if all were scored at once, the rarest too."""
+    rng = random.Random(8)
+    names = [f"l{k:02d}" for k in range(language.LANGUAGES + 3)]
+    own = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(4)] for k in names}
+    rows = [(i, " ".join(rng.choice(own[k]) for _ in range(12)), k) for i, k in enumerate(n for j, n in enumerate(names) for _ in range(12 if j else 8))]
+    rows += [(None, " ".join(own["l34"]), None), (2**60 + 1, " ".join(own["l00"]), None), (2000, "1 2", "l03")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.report(docs).collect()}
+    assert len(got) == len(rows)
+    texts = {k: [t.encode() for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 4 != 2] for k in names}
+    bits = language.lengths(language.fit(texts), [t.encode() for _, t, _ in rows])
+    for (i, t, k), b in zip(rows, bits, strict=True):
+        if t != "1 2":
+            assert got[i].lang_pred == names[b.argmin()]
+            assert got[i].score == pytest.approx(1 / np.exp2(b.min() - b).sum(), rel=1e-3)
+            assert k is None or got[i].lang_pred == k
+    assert got[None].lang_pred == "l34" and got[2**60 + 1].lang_pred == "l00" and got[2000].lang_pred == "und"

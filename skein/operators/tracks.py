@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from skein.functions import geometry, vectors
 
 KEY = ["track_id"]
 
@@ -294,3 +297,56 @@ def reconstruct(models: DataFrame, times: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"track_id": r["track_id"], "ts": at, "x1": low[:, 0], "y1": low[:, 1], "x2": high[:, 0], "y2": high[:, 1]})
 
     return models.join(asked, "track_id").select("track_id", "segments", "size_type", "w", "h", "size_knots", "at").mapInPandas(boxes, schema)
+
+
+#: Points of a path that are compared, and the distance of one sigma.
+PATH_POINTS, PATH_SIGMA = 20, 150.0
+#: Weights of trajectory, size, embedding, space and time.
+PARTS = (0.35, 0.20, 0.30, 0.15)
+
+
+def along(x: np.ndarray, y: np.ndarray, n: int = PATH_POINTS) -> np.ndarray:
+    """``n`` points at equal arc lengths of a path, x before y; steps in single precision."""
+    path = np.column_stack([x, y]).astype(np.float32)
+    far = np.insert(np.cumsum(np.linalg.norm(np.diff(path, axis=0), axis=1)), 0, 0.0)
+    if far[-1] <= 1e-6:
+        return np.repeat(path[0].astype(float), n)
+    at = np.linspace(0, far[-1], n)
+    return np.concatenate([np.interp(at, far, path[:, 0]), np.interp(at, far, path[:, 1])])
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _along(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    return pd.Series([along(x, y) if x is not None and len(x) else None for x, y in zip(xs, ys, strict=True)], dtype=object)
+
+
+def similarity(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The four parts and the weighted ``overall`` of each of ``pairs(a, b)``.
+
+    ``tracks``: track_id, path (array of x, y in order), w, h, embedding, start, end, camera. Where
+    a path or vector is missing its part is 0.5 (``distance`` 999); sizes are 50 then, times 0.
+    """
+    df = tracks.select(
+        "track_id", _along(F.transform("path", lambda p: p.x.cast("double")), F.transform("path", lambda p: p.y.cast("double"))).alias("points"),
+        *(F.when(F.col("w").isNull() | F.col("h").isNull(), F.lit(50.0)).otherwise(F.col(c).cast("double")).alias(c) for c in ("w", "h")),
+        "embedding", F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce("end", "start", F.lit(0.0)).alias("end"), F.col("camera").cast("string").alias("camera"),
+    )
+    side = lambda e: df.select(F.col("track_id").alias(e), F.struct(*df.columns[1:]).alias(f"_{e}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    of = lambda c: (F.col(f"_a.{c}"), F.col(f"_b.{c}"))
+    p, q = of("points")
+    steps = F.transform(F.sequence(F.lit(1), F.lit(PATH_POINTS)), lambda i: F.hypot(F.element_at(p, i) - F.element_at(q, i), F.element_at(p, i + PATH_POINTS) - F.element_at(q, i + PATH_POINTS)))
+    distance = F.when(p.isNotNull() & q.isNotNull(), F.aggregate(steps, F.lit(0.0), lambda s, d: s + d) / PATH_POINTS)
+    apart = lambda c: F.abs(of(c)[0] - of(c)[1]) / (of(c)[0] + of(c)[1])
+    fine = (of("w")[0] > 0) & (of("w")[1] > 0) & (of("h")[0] > 0) & (of("h")[1] > 0)
+    (s1, s2), (e1, e2), (c1, c2) = of("start"), of("end"), of("camera")
+    same = F.when((c1 == c2) & (c1 != ""), F.lit(1.0)).otherwise(F.lit(0.5))
+    parts = {
+        "trajectory": F.coalesce(F.exp(-0.5 * F.pow(distance / PATH_SIGMA, F.lit(2.0))), F.lit(0.5)),
+        "size": F.when(fine, F.greatest(F.lit(0.0), 1 - (apart("w") + apart("h")) / 2)).otherwise(F.lit(0.5)),
+        "embedding": vectors.similarity_score(*of("embedding")),
+        "spatiotemporal": 0.7 * geometry.temporal_iou(s1, e1, s2, e2) + 0.3 * same,
+    }
+    both = both.select("a", "b", *(v.alias(k) for k, v in parts.items()), F.coalesce(distance, F.lit(999.0)).alias("distance"))
+    overall = sum((w * F.col(k) for w, k in zip(PARTS, parts, strict=True)), F.lit(0.0)) / sum(PARTS)
+    return both.withColumn("overall", F.least(F.lit(1.0), F.greatest(F.lit(0.0), overall)))

@@ -264,7 +264,10 @@ def iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def track_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's orders, compared with those of the customer before: time, size, overall."""
+    """Each customer's orders, compared with those of the customer before: time and size.
+
+    ``overall`` is of these two parts only, as its SQL; ``track_similarity`` has all four.
+    """
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("a")).agg(
         F.min(seconds(F.col("o_orderdate"))).alias("s"), F.max(seconds(F.col("o_orderdate"))).alias("e"), F.avg("o_totalprice").alias("w"), F.count("*").cast("double").alias("h"),
     )
@@ -274,6 +277,17 @@ def track_comparison(spark: SparkSession, d: str) -> DataFrame:
     return o.join(b, "a").select(F.col("a").alias("track"), F.round(time, 6).alias("time"), F.round(size, 6).alias("size"), F.round((0.2 * size + 0.15 * (0.7 * time + 0.15)) / 0.35, 6).alias("overall"))
 
 
+@query
+def track_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Users as tracks, compared with the next one and the next of the same camera, by all four parts."""
+    path = F.sort_array(F.collect_list(F.struct("ts", "frame", "x", "y")))
+    by = _observations(spark, d).groupBy("track_id").agg(path.alias("path"), F.avg(F.col("x") / 10 + 20).alias("w"), F.avg(F.col("y") / 10 + 20).alias("h"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    seen = by.join(_gallery(spark, d).select(F.col("vec_id").alias("track_id"), "embedding"), "track_id", "left").withColumn("camera", (F.col("track_id") % 4).cast("string"))
+    pairs = by.select(F.col("track_id").alias("a"), F.explode(F.array(F.col("track_id") + 1, F.col("track_id") + 4)).alias("b"))
+    found = tracks.similarity(seen, pairs)
+    return found.select("a", "b", *(F.round(c, 6).alias(c) for c in found.columns[2:]))
+
+
 # Tables, names, graphs
 
 

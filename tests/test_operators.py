@@ -159,3 +159,30 @@ def test_tables(spark):
     assert [tuple(r) for r in got.collect()] == [(2, "z")]
     paths = spark.createDataFrame([("/a/v.mp4",), ("/b/v.mp4",), ("/x/b/v.mp4",), ("/b/w.mp4",)], "path string")
     assert {r.path: r.feed for r in tables.unique_names(paths).collect()} == {"/a/v.mp4": "a_v.mp4", "/b/v.mp4": "b_v.mp4", "/x/b/v.mp4": "b_v.mp4_1", "/b/w.mp4": "w.mp4"}
+
+
+def test_track_similarity_has_four_parts(spark):
+    schema = "track_id long, path array<struct<x: double, y: double>>, w double, h double, embedding array<float>, start double, end double, camera string"
+    rows = [
+        (1, [(0.0, 0.0), (100.0, 0.0)], 10.0, 20.0, [1.0, 0.0], 0.0, 10.0, "c1"),
+        (2, [(0.0, 60.0), (10.0, 60.0), (100.0, 60.0)], 30.0, 20.0, [0.0, 2.0], 5.0, 15.0, "c1"),
+        (3, None, None, None, None, None, None, None),
+        (4, [(7.0, 7.0), (7.0, 7.0)], -1.0, 5.0, [0.0, 0.0], 10.0, 10.0, ""),
+        (5, [(0.0, 0.0), (0.0, 50.0), (50.0, 50.0)], 10.0, 20.0, [-1.0, 0.0], 0.0, 10.0, "c2"),
+    ]
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 4), (1, 5), (1, 1)], "a long, b long")
+    got = {(r.a, r.b): r for r in tracks.similarity(spark.createDataFrame(rows, schema), pairs).collect()}
+    s = [100 * k / 19 for k in range(20)]
+    corner = sum(math.hypot(x - max(0.0, x - 50), min(x, 50.0)) for x in s) / 20
+    want = {
+        (1, 2): (60.0, math.exp(-0.5 * 0.16), 0.75, 0.5, 0.7 / 3 + 0.3),
+        (1, 3): (999.0, 0.5, 1 - (40 / 60 + 30 / 70) / 2, 0.5, 0.15),
+        (4, 4): (0.0, 1.0, 0.5, 0.5, 0.15),
+        (1, 5): (corner, math.exp(-0.5 * (corner / 150) ** 2), 1.0, 0.0, 0.7 + 0.15),
+        (1, 1): (0.0, 1.0, 1.0, 1.0, 1.0),
+    }
+    assert set(got) == set(want)
+    for k, (distance, *parts) in want.items():
+        r = got[k]
+        assert (r.distance, r.trajectory, r.size, r.embedding, r.spatiotemporal) == pytest.approx((distance, *parts), abs=1e-5)
+        assert r.overall == pytest.approx(0.35 * parts[0] + 0.2 * parts[1] + 0.3 * parts[2] + 0.15 * parts[3], abs=1e-5)

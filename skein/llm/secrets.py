@@ -2,7 +2,7 @@
 
 Every candidate's value is hashed and counted over the whole corpus by distinct documents and
 distinct owners. A value that ``EXAMPLE_OWNERS`` or more owners hold is a copied example; any
-other looks live. Base kinds always stay; candidates of the further, looser kinds are added
+other looks live, in however many documents of fewer owners it is: documents don't decide. Base kinds always stay; candidates of the further, looser kinds are added
 only where they look live.
 
 The counts are pre-aggregated by (hash, owner) before they meet. The few widely held values go
@@ -53,10 +53,9 @@ def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
 
 
 def ownership(book: DataFrame) -> DataFrame:
-    """``v`` (hash), ``n_docs``, ``n_owners`` of each candidate value of a book of candidates."""
+    """``v`` (hash), the distinct ``n_docs`` and ``n_owners`` of each value of a book; null counts as one."""
     each = book.select("doc_id", "_owner", F.explode(_values()).alias("v"))
-    by_owner = each.groupBy("v", "_owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("v").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_owners"))
+    return each.groupBy("v").agg(F.countDistinct(F.struct("doc_id")).alias("n_docs"), F.countDistinct(F.struct("_owner")).alias("n_owners"))
 
 
 def _values() -> Column:

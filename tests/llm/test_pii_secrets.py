@@ -101,3 +101,11 @@ def test_replaced(spark):
     made = F.from_json(F.lit('[{"s":2,"k":0,"e":4},{"s":3,"k":1,"e":6},{"s":8,"k":0,"e":10}]'), spans.SPAN)
     x = spans.replaced(F.lit("0123456789"), made, "#")
     assert spark.range(1).select(x).first()[0] == "01#67#"
+
+
+def test_ownership_counts_distinct_documents(spark):
+    one = "ghp_" + "a1B2" * 9
+    rows = [(1, one, "s1"), (1, one, "s1"), (1, one, "s2"), (2, one, None), (None, one, None), (None, one, "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.n_docs, r.n_owners) for r in secrets.ownership(secrets.candidates(docs)).collect()]
+    assert got == [(3, 3)]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +64,23 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what runs here when it ends; its result is in files by then."""
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP)
+        else:
+            spark.conf.set(_DROP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage.
 
@@ -72,7 +89,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _dropping_shuffles(spark):
+        df.write.parquet(path)
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN.append((spark, path))
@@ -81,12 +99,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, not when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def discard(*frames: DataFrame) -> None:
     """Remove the files of frames that ``materialize`` returned; they can't be read afterwards."""
     for df in frames:

@@ -1,38 +1,38 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes; texts of equal words are one
-node. Two nodes link when 100 * |intersection| >= 75 * |union|. Sets are ordered by hash. With
-base = n - ceil(0.75 n) + 1, two linked sets share a token of their first ``base``; of the
-first L tokens they share at least L - base + 1 (on the side whose prefix ends first).
-
-Candidate cost is estimated by how many sets hold a prefix token; tokens of over ``HEAVY`` sets
-(licence lines, common passages, large groups of copies) aren't paired up. A set with h heavy
-tokens lengthens its prefix until ``base`` light ones are in it. Then L - base + 1 > h, so linked
-sets still share a light token, and a pair must share as many light ones as the bound asks:
-
-    c + h + (n - L) >= least overlap, for the side that allows more,
-
-before it is verified. A set that runs out of prefix (``MARGIN``) is a probe: besides, it asks the
-rarest base - light of its heavy tokens, which every set posts. Linked pairs with a probe are found
-there. For a partner of given size a probe misses at most n - least overlap tokens. Missed for sure
-are its light tokens and the heavy ones asked before, or the pair were found by them, and those that
-no possible partner holds; once their union, each token counted once, is too large, later heavy
-tokens needn't be asked. Both ways are exact; together they find every link.
-
-Only connectivity is asked, so pairs are verified in rounds: first each node with its best
-candidate, and probes with one hub of each heavy token, the holder with the largest share of heavy
-tokens, which for a group of copies is about the text they were made from; then, of all the rest,
-the pairs whose ends are still apart. A group of thousands of near copies thus costs a few pairs
-per member.
-
-Verification intersects the whole sets of the pair. Identity of words, shingles and texts is
-by 64-bit hashes.
+node. Two nodes link when 100 * |intersection| >= 75 * |union|, that is, when the intersection
+holds 3/7 of both sizes together. So at most ``slack`` = n - ceil(0.75 n) tokens of a linked set
+are missing in its partner.
+
+1. First prefixes. Sets are ordered by hash, and all tokens in the lowest ``first`` part of the
+   hash range are posted, and all tokens of sets under ``small``. A token that one node only posts can't
+   be shared. A node with more such tokens than ``slack`` links with nothing: of a prefix of p
+   tokens p - slack must be shared. This is one grouped minimum and maximum, which combine before
+   the shuffle, so common tokens are no hot keys.
+2. What is left lengthens its prefix to the whole set and is counted exactly. Sets are then
+   ordered by frequency, rarest first (ties by hash). A token at position i of x can be the first
+   shared one with a partner y only if 3 * n(y) <= 4 * n(x) - 7 * i, and the same holds for y.
+   So a base prefix has slack + 1 tokens; where these have many holders (``costly``), the
+   prefix is lengthened by ``longer``.
+3. Of two prefixes of lengths L, that which ends first shares at least least overlap - (n - L)
+   tokens with the other; pairs that share fewer prefix tokens are dropped, the others verified
+   on the whole sets.
+
+Only connectivity is asked. So each node is first paired with one hub of each base token: the
+holder whose prefix there lies farthest from its end, for a group of copies about the text they
+were made from. After that only pairs whose ends are in different components are joined, by
+token and size: a token's largest component isn't joined with itself. A group of thousands of near
+copies costs a few pairs per member, and each pair that must be told apart costs one.
+
+Identity of words, shingles and texts is by 64-bit hashes.
 
 Defined cases: texts without words, or null, have the empty set and link with nothing, each its
-own component; texts under five words are one shingle; equal rows fall into one component, of the
-smallest doc_id; texts that don't link are apart, though their doc_id be equal; rows without doc_id
-link like others, and a component of such rows only has a null component_id; other columns are
-ignored; an empty table gives an empty result.
+own component; texts under five words are one shingle; texts are taken whole, one set in memory at
+a time and all tokens of a set in one row; equal rows fall into one component, of the smallest
+doc_id; texts that don't link are apart, though their doc_id be equal; rows without doc_id link
+like others, and a component of such rows only has a null component_id; other columns, whatever
+their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,20 +44,35 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.llm import bitmaps
 from skein.operators.components import components
-from skein.session import discard, materialize, release
+from skein.session import discard, materialize
 
 WORDS = 5
 PERCENT = 75
-HEAVY = 64
-#: Of the base prefix, how much more may be posted, and at least so many tokens.
-MARGIN, MARGIN_LEAST = 0.5, 8
-#: Rounds of stars before the last, and the pairs from which a node counts as a hub.
-ROUNDS, HUB = 3, 16
 _MIX = tuple(xxhash.xxh64_intdigest(b"shingle", seed=i) | 1 for i in range(WORDS))
+#: Posts a token without claiming it.
+_NOBODY = 0
+
+
+@dataclass(frozen=True)
+class Costs:
+    """Weighs work; no value here decides which links are found.
+
+    ``first`` is the share of the hash range that is a first prefix, ``small`` the size below
+    which that is the set. From ``costly`` holders of its base tokens a prefix is made ``longer``
+    by that part. Sizes of a cell differ by a factor of ``step`` at most, and ``spread`` holders of
+    a token and cell meet in one task.
+    """
+
+    first: float = 0.45
+    small: int = 64
+    costly: int = 64
+    longer: float = 0.5
+    step: float = 1 + 1 / 32
+    spread: int = 1024
 
 
 def words(text: str | None) -> list[bytes]:
@@ -80,124 +95,61 @@ def shingles(ws: list[bytes]) -> np.ndarray:
 
 
 def node(ws: list[bytes]) -> int:
-    """The identity of a word sequence, signed."""
-    h = xxhash.xxh64_intdigest(b" ".join(ws), seed=1)
+    """The identity of a word sequence, signed and never ``_NOBODY``."""
+    h = xxhash.xxh64_intdigest(b" ".join(ws), seed=1) or 1
     return h - (1 << 64) if h >> 63 else h
 
 
-def base(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
-
+@dataclass(frozen=True)
+class _Heads:
+    """The node and set size of each row."""
 
-#: ``place`` is n << 32 | pos + 2. A header's pos is -1 and its token the doc_id; one without
-#: doc_id has pos -2 and the node as token.
-_POSTED = "token long, node long, place long"
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            split = [words(t) for t in batch["text"]]
+            keys = np.array([node(ws) for ws in split], dtype=np.int64)
+            sizes = np.array([len(shingles(ws)) for ws in split], dtype=np.int32)
+            yield batch[["missing", "id", "key"]].assign(node=keys, n=sizes)
 
 
 @dataclass(frozen=True)
-class _Post:
-    """Headers and prefix tokens; copies in a partition post once."""
+class _First:
+    """First prefixes; copies in a partition post once.
+
+    Partners of a set may have ``small`` shingles or more, and then don't post beyond ``first``,
+    although the set does: it posts such tokens for others, without claiming them.
+    """
+
+    first: float
+    small: int
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        limit = int((self.first - 0.5) * 2.0**64)
         held, size = [], 0
         for batch in batches:
-            for doc_id, missing, text in zip(batch["id"], batch["missing"], batch["text"], strict=True):
+            for text in batch["text"]:
                 ws = words(text)
-                s = shingles(ws)
-                key, n = node(ws), len(s)
-                part, pos = np.array([key if missing else doc_id], dtype=np.int64), np.array([-2 if missing else -1])
-                if n and key not in seen:
+                key = node(ws)
+                if ws and key not in seen:
                     seen.add(key)
-                    b = base(n)
-                    k = min(n, b + max(MARGIN_LEAST, int(MARGIN * b)))
-                    part, pos = np.concatenate([part, s[:k]]), np.concatenate([pos, np.arange(k)])
-                held.append((part, np.full(len(part), key), (n << 32) + pos + 2))
-                size += len(part)
-                if size > 200_000:
-                    yield self.frame(held)
-                    held, size = [], 0
+                    s = shingles(ws)
+                    first = int(np.searchsorted(s, limit))
+                    whole = len(s) < self.small
+                    owner = np.full(len(s) if whole else first, key)
+                    if whole and 100 * len(s) >= PERCENT * self.small:  # a partner may be that large
+                        owner[first:] = _NOBODY
+                    held.append((s[: len(owner)], owner))
+                    size += len(owner)
+                    if size > 200_000:
+                        yield self.frame(held)
+                        held, size = [], 0
         if held:
             yield self.frame(held)
 
     @staticmethod
     def frame(held) -> pd.DataFrame:
-        return pd.DataFrame({name: np.concatenate([h[i] for h in held]) for i, name in enumerate(("token", "node", "place"))})
-
-
-_CHOSEN = "token long, kind string, node long, n int, spare int, central int, rank int, place int"
-
-
-@dataclass(frozen=True)
-class _Choose:
-    """From a node's shared prefix tokens: which are paired, which probe and which are posted.
-
-    ``spare`` is what the overlap may hold besides shared light tokens: h + (n - L). ``central``
-    is the share of heavy tokens, largest for the text that a group's copies were made from. A
-    probe's ``rank`` counts the heavy tokens before it, its ``place`` the light ones too.
-    """
-
-    heavy: int
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for key, n, shared in zip(batch["node"], batch["n"], batch["shared"], strict=True):
-                n = int(n)
-                b = base(n)
-                most = min(n, b + max(MARGIN_LEAST, int(MARGIN * b)))
-                length, h = b, 0
-                for t in shared:  # by place
-                    if t["pos"] >= length:
-                        break
-                    if t["count"] > self.heavy and length < most:
-                        length += 1
-                inside = [t for t in shared if t["pos"] < length]
-                large = sorted((t for t in inside if t["count"] > self.heavy), key=lambda t: (t["count"], t["token"]))
-                h = len(large)
-                spare = h + n - length
-                tail = (key, n, spare, h * 1_000_000 // length)
-                rows += [(t["token"], "light", *tail, 0, 0) for t in inside if t["count"] <= self.heavy]
-                rows += [(t["token"], "heavy", *tail, 0, 0) for t in large]
-                rows += [(t["token"], "probe", *tail, i, length - h + i) for i, t in enumerate(large[: max(0, b - (length - h))])]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHOSEN.split(", ")])
-
-
-def _early(own: str, other: str) -> Column:
-    """Whether a linked pair of these sizes can have its first shared token here.
-
-    Before a probe ``before`` tokens are missed; at most own - least overlap may be.
-    """
-    near = 100 * F.least(own, other) >= PERCENT * F.greatest(own, other)
-    return near & (PERCENT * (F.col(own) + F.col(other)) <= (100 + PERCENT) * (F.col(own) - F.col("before")))
-
-
-def _alone(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Tokens that one member only holds, with their place in its set: missed with any other."""
-    each = sets.join(members, "node", "left_semi").select("node", F.posexplode("tokens").alias("pos", "token"))
-    single = each.groupBy("token").agg(F.min(F.struct("node", "pos")).alias("h"), F.count("*").alias("c")).filter("c = 1")
-    return single.select("h.node", "token", "h.pos")
-
-
-def _missed(asking: DataFrame, heavy: DataFrame, alone: DataFrame) -> DataFrame:
-    """Add ``before``, the tokens that are missed for sure where a pair first meets at this one.
-
-    These are the union of the prefix tokens that aren't heavy, the heavy ones asked earlier, and
-    the tokens that are ``alone``; each counts once.
-    """
-    ends = heavy.groupBy("node").agg((F.first("n") - F.first("spare") + F.count("*")).alias("_end"))  # the prefix's length
-    open_ = alone.join(ends, "node").join(heavy.select("node", "token", F.lit(True).alias("_heavy")), ["node", "token"], "left")
-    open_ = open_.filter((F.col("pos") >= F.col("_end")) | F.col("_heavy"))
-    beyond = open_.groupBy("node").agg(F.count("*").alias("_beyond"))
-    marked = asking.join(open_.select("node", "token", F.lit(1).alias("_one")), ["node", "token"], "left").join(beyond, "node", "left")
-    earlier = F.sum("_one").over(W.partitionBy("node").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
-    before = F.col("place") + F.coalesce("_beyond", F.lit(0)) - F.coalesce(earlier, F.lit(0))
-    return marked.withColumn("before", before.cast("int"))
-
-
-def _band(n: Column) -> Column:
-    """Sizes of linked sets lie in the same or adjacent bands of 4/3."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
+        return pd.DataFrame({name: np.concatenate([h[i] for h in held]) for i, name in enumerate(("token", "owner"))})
 
 
 @dataclass(frozen=True)
@@ -211,175 +163,170 @@ class _Sets:
                 yield pd.DataFrame({"node": some["node"], "tokens": [shingles(words(t)) for t in some["text"]]})
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among ``pairs(x, y)``; the array of x, a hub maybe, travels to y."""
-    left = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("_a")), "x")
-    both = left.join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("_b")), "y")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return both.filter(100 * shared >= PERCENT * (F.size("_a") + F.size("_b") - shared)).select("x", "y")
+ROW = ("missing", "id", "key")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
-    df = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
-    return df.filter(F.coalesce("_x", "x") != F.coalesce("_y", "y")).select(pairs.columns)
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """What names a row, without nulls, with its text; rows of equal doc_id and text share it."""
+    doc_id = F.col("doc_id").cast("long")
+    names = (doc_id.isNull().alias("missing"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("key"))
+    return docs.select(*names, F.col("text"), *more)
 
 
-_ROW = "_skein_row"
+def _slack(n: Column) -> Column:
+    """How many tokens of a linked set may be missing in its partner."""
+    return n - F.ceil(n * PERCENT / 100).cast("int")
 
 
-def _id() -> Column:
-    """The doc_id without nulls, which pandas would turn into floats."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+def _least(n: Column, m: Column) -> Column:
+    """The least intersection of linked sets of these sizes."""
+    return F.ceil(F.lit(PERCENT) * (n + m) / (100 + PERCENT)).cast("int")
 
 
-def _row(key: Column) -> Column:
-    """What names a row, never null; rows of equal doc_id and words share it."""
-    return F.struct(F.col("doc_id").isNull().alias("missing"), _id().alias("id"), key.alias("node"))
+def _largest(n: Column, at: Column) -> Column:
+    """The largest size of a partner that can share the token at this position first."""
+    return F.floor(((100 + PERCENT) * (n - at) - PERCENT * n) / PERCENT).cast("int")
 
 
-def _node(text: str) -> Column:
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([node(words(t)) for t in texts], dtype="int64")
+def _open(heads: DataFrame, docs: DataFrame, costs: Costs) -> DataFrame:
+    """Whole sets, with a size, of the nodes whose first prefix doesn't tell that they are alone."""
+    posted = docs.select("text").mapInPandas(_First(costs.first, costs.small), "token long, owner long")
+    single = posted.groupBy("token").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).filter((F.col("lo") == F.col("hi")) & (F.col("lo") != _NOBODY))
+    alone = single.groupBy(F.col("lo").alias("node")).agg(F.count("*").alias("alone"))
+    nodes = heads.filter("n > 0").groupBy("node", "n").agg(F.min(F.struct(*ROW)).alias("row")).join(alone, "node", "left")
+    left = materialize(nodes.filter(F.coalesce("alone", F.lit(0)) <= _slack(F.col("n"))).select("node", "row.*"), "open")
+    near = bitmaps.maybe(_keyed(docs), left, list(ROW))
+    texts = near.join(left, list(ROW)).dropDuplicates(["node"]).select("node", "text")
+    sets = texts.mapInPandas(_Sets(), "node long, tokens array<long>")
+    out = materialize(sets.select("node", F.size("tokens").alias("n"), "tokens"), "sets")
+    discard(left)
+    return out
 
-    return of(F.col(text))
 
+def _prefixes(sets: DataFrame, costs: Costs) -> DataFrame:
+    """Per node that may link: ``node``, ``n``, ``alone``, ``length`` and the shared tokens of its prefix.
 
-def _postings(docs: DataFrame) -> DataFrame:
-    """Headers, and prefix tokens that two nodes or more hold, each once, with ``count``."""
-    posted = docs.select(_id().alias("id"), F.col("doc_id").isNull().alias("missing"), "text").mapInPandas(_Post(), _POSTED)
-    posted = posted.withColumn("_head", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) < 2)
-    head, run = F.col("_head"), W.partitionBy("token", "_head")  # one column, so both windows share a shuffle
-    new = F.when(head | ~F.lag("node").over(run.orderBy("node")).eqNullSafe(F.col("node")), 1).otherwise(0)
-    df = posted.withColumn("_new", new).withColumn("count", F.sum("_new").over(run).cast("int")).filter(head | ((F.col("_new") == 1) & (F.col("count") > 1)))
-    n, pos = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - 2
-    return materialize(df.select("token", "node", n.alias("n"), pos.alias("pos"), "count"), "postings")
+    Tokens that no other set holds come first in the order and count in positions only.
+    """
+    each = sets.select("node", "n", F.explode("tokens").alias("token"))
+    shared = each.groupBy("token").agg(F.count("*").cast("int").alias("holders")).filter("holders > 1")
+    own = each.join(shared, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("shared"))
+    slack = _slack(F.col("n"))
+    own = own.withColumn("alone", F.col("n") - F.size("shared")).filter(F.col("alone") <= slack)
+    own = own.withColumn("base", F.slice("shared", F.lit(1), slack + 1 - F.col("alone")))
+    costly = F.aggregate("base", F.lit(0).cast("long"), lambda a, t: a + t.holders - 1) >= costs.costly
+    own = own.withColumn("length", F.least(F.col("n"), slack + 1 + F.when(costly, F.ceil(slack * costs.longer).cast("int")).otherwise(0)))
+    prefix = F.transform(F.slice("shared", F.lit(1), F.col("length") - F.col("alone")), lambda t: t.token)
+    return materialize(own.select("node", "n", "alone", "length", F.size("base").alias("n_base"), prefix.alias("prefix")), "prefixes")
+
+
+def _postings(prefixes: DataFrame) -> DataFrame:
+    """Base tokens with ``most``, the largest size of a partner that shares this one first."""
+    base = prefixes.select("node", "n", "alone", F.posexplode(F.slice("prefix", F.lit(1), F.col("n_base"))).alias("i", "token"))
+    return base.select("token", "node", "n", _largest(F.col("n"), F.col("alone") + F.col("i")).alias("most"))
 
 
-def _light_pairs(chosen: DataFrame) -> DataFrame:
-    """Pairs x < y that share as many light tokens as the bound asks, with that count."""
-    light = chosen.filter("kind = 'light'").select("token", "node", "n", "spare")
-    a = light.select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "spare")))
-    b = light.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "spare")))
-    near = 100 * F.least("n1", "n2") >= PERCENT * F.greatest("n1", "n2")
-    met = a.join(b, "token").filter((F.col("node1") < F.col("node2")) & near)
-    keys = [F.col("node1").alias("x"), F.col("node2").alias("y")]
-    found = met.groupBy(*keys).agg(F.count("*").alias("c"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.greatest(F.first("spare1"), F.first("spare2")).alias("spare"))
-    bound = (100 + PERCENT) * (F.col("c") + F.col("spare")) >= PERCENT * (F.col("n1") + F.col("n2"))
-    return found.filter(bound).select("x", "y", "c")
+def _fit(a: str, b: str) -> Column:
+    """Whether linked sets can share a token first here."""
+    return (F.col(f"{b}.n") <= F.col(f"{a}.most")) & (F.col(f"{a}.n") <= F.col(f"{b}.most"))
 
 
-def _banded(df: DataFrame, spread: bool) -> DataFrame:
-    """Tokens with size bands; ``spread`` to adjacent ones."""
-    band = _band(F.col("n"))
-    return df.withColumn("band", F.explode(F.array(band - 1, band, band + 1)) if spread else band)
+def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
+    x, y = F.col(f"{a}.node"), F.col(f"{b}.node")
+    return met.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
 
 
-def _named(df: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Add ``label``, a node's component, or the node itself before any."""
-    if labels is None:
-        return df.withColumn("label", F.col("node"))
-    return df.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _stars(postings: DataFrame) -> DataFrame:
+    """Each node with the hub of each of its base tokens."""
+    central = F.struct(F.col("most") / F.col("n"), F.xxhash64("node"))
+    hubs = postings.groupBy("token").agg(F.max_by(F.struct("node", "n", "most"), central).alias("hub"))
+    met = postings.select("token", F.struct("node", "n", "most").alias("own")).join(hubs, "token")
+    return _pairs(met.filter((F.col("own.node") != F.col("hub.node")) & _fit("own", "hub")), "own", "hub")
 
 
-def _apart_lists(posts: DataFrame) -> DataFrame:
-    """Tokens and bands whose holders, or those of the bands beside, are in several components."""
-    wide = posts.select("token", "label", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    return wide.groupBy("token", "band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token", "band")
+def _cell(n: Column, step: float) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(step))).cast("int")
 
 
-def _stars(probes: DataFrame, posts: DataFrame, labels: DataFrame | None, done: DataFrame | None) -> DataFrame:
-    """Each probe with the most central holder of each of its tokens that is in another component.
+def _apart(postings: DataFrame, labels: DataFrame, costs: Costs) -> DataFrame:
+    """Pairs in different components that can link by a shared base token.
 
-    Nodes that were compared with many before are passed over, so every round has other hubs.
+    Of each token the rows outside its largest component ask all others, by cells of the sizes
+    that fit; the holders of a large cell are dealt to several tasks.
     """
-    holders = _named(posts, labels)
-    if done is not None:
-        met = done.select(F.col("x").alias("node")).union(done.select("y")).groupBy("node").agg(F.count("*").alias("m")).filter(F.col("m") > HUB).select("node")
-        holders = holders.join(met, "node", "left_anti")
-    hub = holders.groupBy("token", "band").agg(F.max_by(F.struct("node", "n", "label"), F.struct("central", F.xxhash64("node"))).alias("h"))
-    asked = _named(probes, labels).join(hub, ["token", "band"])
-    met = asked.filter((F.col("h.label") != F.col("label")) & _early("n", "h.n"))
-    return met.select(F.col("h.node").alias("x"), F.col("node").alias("y"))
-
-
-def links(docs: DataFrame, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
-    """Headers (doc_id, node, n) and the labels of all linked nodes."""
-    table = _postings(docs)
-    release(docs.sparkSession)
-    heads = table.filter("pos < 0").select(F.when(F.col("pos") == -1, F.col("token")).alias("doc_id"), "node", "n")
-    shared = table.filter("pos >= 0").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "count"))).alias("shared"))
-    chosen = materialize(shared.mapInPandas(_Choose(heavy), _CHOSEN), "prefixes")
-    light = materialize(_light_pairs(chosen), "light")
-    release(docs.sparkSession)
-    asking = chosen.filter("kind = 'probe'").select("token", "node", "n", "rank", "place")
-    probes = _banded(asking, True)
-    posts = _banded(chosen.filter("kind = 'heavy'").select("token", "node", "n", "central"), False)
-
-    # whole sets of all nodes that a pair may name
-    partners = posts.join(probes.select("token", "band").distinct(), ["token", "band"], "left_semi").select("node")
-    needed = light.select(F.col("x").alias("node")).union(light.select("y")).union(partners).union(probes.select("node")).distinct()
-    chosen_docs = heads.groupBy("node").agg(F.min(_row(F.col("node"))).alias("row")).join(needed, "node", "left_semi")
-    texts = docs.select(_row(_node("text")).alias("row"), "text").join(chosen_docs, "row").dropDuplicates(["node"])
-    sets = materialize(texts.select("node", "text").mapInPandas(_Sets(), "node long, tokens array<long>"), "sets")
-    alone = _alone(sets, partners.union(probes.select("node")).distinct())
-    asking = _missed(asking, chosen.filter("kind = 'heavy'"), alone)
-    asking = materialize(asking.select("token", "node", "n", "before"), "probes")
-    probes = _banded(asking, True)
-    release(docs.sparkSession)
-
-    # first rounds: best partners, and the most central holder of each probed token
-    best = [light.groupBy(e).agg(F.max_by(F.struct("x", "y"), F.struct("c", -F.col(o))).alias("p")).select("p.*") for e, o in (("x", "y"), ("y", "x"))]
-    pairs = best[0].union(best[1])
-    done = found = labels = None
-    tried = []
-    for _ in range(ROUNDS):
-        pairs = pairs.union(_stars(probes, posts, labels, done)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"), "pairs")
-        if done is not None and pairs.isEmpty():
-            break
-        links_ = materialize(verify(pairs, sets), "links")
-        done, found = (pairs, links_) if done is None else (done.union(pairs), found.union(links_))
-        labels = materialize(components(found), "labels")
-        tried += [pairs, links_, labels]
-        release(docs.sparkSession)
-        pairs = pairs.limit(0)
-
-    # last round: all that is still apart
-    lists = _apart_lists(_named(posts, labels))
-    asked = _named(probes, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", "before", F.col("node").alias("x"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    held = _named(posts, labels).join(lists, ["token", "band"], "left_semi").select("token", "band", F.col("node").alias("y"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    more = asked.join(held, ["token", "band"]).filter((F.col("l1") != F.col("l2")) & _early("n1", "n2")).select("x", "y")
-    rest = _apart(light.select("x", "y"), labels).union(more).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    last = materialize(verify(rest.join(done, ["x", "y"], "left_anti"), sets), "links")
-    final = materialize(components(found.union(last)), "labels")
-    discard(chosen, light, sets, asking, last, *tried)
+    named = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counted = named.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = counted.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("token", "main")
+    rows = materialize(named.join(mixed, "token").withColumn("cell", _cell(F.col("n"), costs.step)), "apart")
+    parts = rows.groupBy("token", "cell").agg(F.ceil(F.count("*") / costs.spread).cast("int").alias("parts"))
+    one = F.struct("node", "n", "most", "label")
+    fits = F.sequence(_cell(F.ceil(F.col("n") * PERCENT / 100), costs.step), _cell(F.col("most"), costs.step))
+    asking = rows.filter("label <> main").select("token", one.alias("own"), F.explode(fits).alias("cell")).join(parts, ["token", "cell"])
+    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts")))).select("token", "cell", "part", "own")
+    held = rows.join(parts.filter("parts > 1"), ["token", "cell"], "left")
+    part = 1 + F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    held = held.select("token", "cell", part.alias("part"), one.alias("other"))
+    met = asking.join(held, ["token", "cell", "part"]).filter((F.col("own.label") != F.col("other.label")) & _fit("own", "other"))
+    out = materialize(_pairs(met, "own", "other"), "pairs")
+    discard(rows)
+    return out
+
+
+def verify(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among ``pairs(x, y)``: by the shared tokens of the prefixes, then by whole sets."""
+    side = lambda c: prefixes.select(F.col("node").alias(c), F.struct("n", "length", "prefix").alias(f"_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    least = _least(F.col("_x.n"), F.col("_y.n"))
+    asked = F.least(least - F.col("_x.n") + F.col("_x.length"), least - F.col("_y.n") + F.col("_y.length"))
+    left = both.filter(F.size(F.array_intersect("_x.prefix", "_y.prefix")) >= asked).select("x", "y", least.alias("least"))
+    left = left.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("_a")), "x")
+    left = left.join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("_b")), "y")
+    return left.filter(F.size(F.array_intersect("_a", "_b")) >= F.col("least")).select("x", "y")
+
+
+def links(docs: DataFrame, costs: Costs = Costs()) -> tuple[DataFrame, DataFrame]:
+    """The head of each row (``ROW``, ``node``, ``n``), and ``node``, ``label`` of all linked nodes."""
+    heads = materialize(_keyed(docs).mapInPandas(_Heads(), "missing boolean, id long, key long, node long, n int"), "heads")
+    sets = _open(heads, docs, costs)
+    prefixes = _prefixes(sets, costs)
+    postings = materialize(_postings(prefixes), "postings")
+    stars = materialize(verify(_stars(postings), prefixes, sets), "links")
+    labels = materialize(components(stars), "labels")
+    pairs = _apart(postings, labels, costs)
+    found = materialize(stars.union(verify(pairs, prefixes, sets)), "links")
+    final = materialize(components(found), "labels")
+    discard(sets, prefixes, postings, stars, labels, pairs, found)
     return heads, final
 
 
-def classes(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+def _labelled(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add ``label``, a node's component: that of its links, or itself."""
+    return heads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the smallest doc_id reachable by links."""
-    heads, labels = links(docs, heavy)
-    own = heads.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads, labels = links(docs, costs)
+    doc_id = F.when(~F.col("missing"), F.col("id"))
+    own = _labelled(heads.filter("n > 0").groupBy("node").agg(F.min(doc_id).alias("least")), labels)
     least = own.groupBy("label").agg(F.min("least").alias("component_id"))
     known = own.join(least, "label").select("node", "component_id")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return heads.join(known, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(doc_id)
+    out = heads.join(known, "node", "left")
+    return out.select(doc_id.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest doc_id, a null one last; equal rows once.
 
-    Rows are told apart by doc_id and words, so all components of texts with an equal doc_id, or
-    with none, keep a row. Rows with neither words nor doc_id all stay.
+    Rows are told apart by doc_id and text, so all components of texts with an equal doc_id, or
+    with none, keep a row. Of rows without words one of each doc_id stays, and all without doc_id.
     """
     heads, labels = links(docs)
-    rows = _named(heads, labels).withColumn("row", _row(F.col("node")))
-    first = rows.filter("n > 0").groupBy("label").agg(F.min("row").alias(_ROW)).select(_ROW)
-    kept = first.union(rows.filter("n = 0 and doc_id is not null").select("row").distinct())
+    nodes = heads.filter("n > 0").groupBy("node").agg(F.min(F.struct(*ROW)).alias("row"))
+    first = _labelled(nodes, labels).groupBy("label").agg(F.min("row").alias("row")).select("row.*")
+    empty = heads.filter("n = 0 and not missing").groupBy("missing", "id").agg(F.min("key").alias("key"))
     nameless = F.col("doc_id").isNull() & F.coalesce("text", F.lit("")).rlike(r"\A\s*\z")  # \s is what parts words
-    named = docs.filter(~nameless).withColumn(_ROW, _row(_node("text")))
-    return named.join(kept, _ROW, "left_semi").dropDuplicates([_ROW]).select(*docs.columns).union(docs.filter(nameless))
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("whole")
+    kept = _keyed(docs.filter(~nameless), whole).join(first.union(empty), list(ROW), "left_semi")
+    return kept.dropDuplicates(list(ROW)).select("whole.*").union(docs.filter(nameless))

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from skein.llm import jaccard
+from skein.llm import bitmaps, jaccard
 from skein.operators import components
 
 SCHEMA = "doc_id long, text string, node int, n int"
@@ -47,12 +48,15 @@ def corpus(seed):
     return [(i, t, 0, 0) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "heavy"), [(1, 4), (2, 64), (3, 1), (4, 12)])
-def test_matches_all_pairs(spark, seed, heavy):
+@pytest.mark.parametrize(
+    ("seed", "costs"),
+    [(1, {}), (2, {"costly": 1, "longer": 2.0}), (3, {"small": 1, "first": 0.3}), (4, {"small": 10**6}), (5, {"spread": 2, "step": 1.5, "small": 40})],
+)
+def test_matches_all_pairs(spark, seed, costs):
     rows = corpus(seed)
     rows += [rows[20], rows[20], (9999, rows[30][1], 0, 0)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = jaccard.classes(docs, heavy).collect()
+    got = jaccard.classes(docs, jaccard.Costs(**costs)).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
@@ -92,10 +96,41 @@ def test_heavy_tokens_of_no_partner_count_once(spark):
     rows = [(i, t, 0, 0) for i, t in enumerate(rows)]
     want = brute(rows)
     assert want[1] == (344, 0)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(3), 4).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("costs", [{}, {"spread": 16, "small": 400}])
+def test_large_group_near_the_threshold(spark, costs):
+    """Copies of one text, most just under or over the threshold, of the same and other sizes."""
+    rng = random.Random(12)
+    source = [f"w{rng.randrange(10**5)}" for _ in range(150)]
+    rows = [(0, " ".join(source), 0, 0)]
+    for i in range(1, 361):
+        c = list(source)
+        for _ in range(rng.choice([0, 3, 4, 4, 5, 5, 6])):
+            c[rng.randrange(len(c))] = f"x{rng.randrange(10**7)}"
+        if i % 3 == 0:
+            c = c[rng.randrange(12) : len(c) - rng.randrange(12)]
+        if i % 7 == 0:
+            c += [f"y{rng.randrange(10**7)}" for _ in range(rng.randrange(12))]
+        rows.append((i, " ".join(c), 0, 0))
+    want = brute(rows)
+    assert 40 < sum(c != 0 for _, c in want.values()) < 320
+    got = jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(5), jaccard.Costs(**costs)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_bitmaps_lose_no_row(spark):
+    rows = spark.range(200_000).select("id", (F.col("id") * 7).alias("b"), F.lit("x").alias("text"))
+    keys = rows.filter("id % 37 = 0").select("id", "b")
+    met = bitmaps.maybe(rows, keys, ["id", "b"])
+    assert met.columns == rows.columns
+    assert keys.join(met, ["id", "b"], "left_anti").count() == 0 and keys.count() <= met.count() < 0.15 * 200_000
+    assert bitmaps.maybe(rows, keys, ["id", "b"], most=10).count() == 200_000
+    assert bitmaps.maybe(rows, keys.limit(0), ["id", "b"]).count() == 0
+
+
 def near_copies(seed, n):
     """Pairs of near copies, the copies apart from the texts."""
     rng = random.Random(seed)

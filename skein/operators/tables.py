@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import naming
+from skein.operators.ranking import numbered
 
 CLIP_SECONDS = 120.0
 
@@ -22,7 +23,7 @@ def catalogue(names: list[DataFrame]) -> DataFrame:
     every = names[0]
     for more in names[1:]:
         every = every.unionByName(more)
-    df = every.distinct().withColumn("video_index", F.row_number().over(W.orderBy("video_name")) - 1)
+    df = numbered(every.distinct(), [F.col("video_name")], "_n").withColumn("video_index", F.col("_n") - 1)
     start = F.col("video_index") * CLIP_SECONDS
     return df.select("video_name", naming.camera_id(F.col("video_name")).alias("camera_id"), "video_index", start.alias("start_timestamp_sec"), naming.iso_time(start).alias("start_timestamp_iso"))
 

@@ -6,10 +6,17 @@ spread to the slots they can meet, and the exact predicate follows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.functions.arrays import scan
+
+#: Slots of neighbouring levels differ by this factor.
+GROWTH = 16
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, reach: float) -> DataFrame:
     """Pairs of equal keys with right time in [left time - reach, left time + reach); times in seconds.
@@ -27,16 +34,25 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, rea
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, slack: float, width: float) -> DataFrame:
     """Pairs whose closed intervals, widened by ``slack`` in all, meet; each pair once.
 
-    Both sides are spread over slots of ``width``; a pair is kept in the slot of the later start.
+    Slots of ``width`` grow by ``GROWTH`` per level. An interval belongs to the level whose slots are
+    as long as itself, so it spans two of them; pairs meet in the slots of the higher level, in
+    that of the later start. So an interval makes two rows a level, however long it is.
     """
-    slot = lambda t: F.floor(t / width)
-    spread = lambda df, s, e, more: df.withColumn("_slot", F.explode(F.sequence(slot(F.col(s)), slot(F.col(e) + more))))
-    a = spread(left, start, end, slack)
-    b = right.select(*keys, *(F.col(c).alias(f"{c}_2") for c in right.columns if c not in keys))
-    b = spread(b, f"{start}_2", f"{end}_2", slack)
+    right = right.select(*keys, *(F.col(c).alias(f"{c}_2") for c in right.columns if c not in keys))
+    own = lambda s, e: F.greatest(F.lit(0), F.ceil(F.log((F.col(e) + slack - F.col(s)) / width) / math.log(GROWTH))).cast("int")
+    a, b = left.withColumn("_own", own(start, end)), right.withColumn("_own", own(f"{start}_2", f"{end}_2"))
+    levels = sorted({r["_own"] for side in (a, b) for r in side.select("_own").distinct().collect() if r["_own"] is not None})
+    wide = lambda level: F.lit(width) * F.pow(F.lit(float(GROWTH)), level)
+    slot = lambda t: F.floor(t / wide(F.col("_level")))
+
+    def spread(df: DataFrame, s: str, e: str) -> DataFrame:
+        df = df.withColumn("_level", F.explode(F.filter(F.array(*(F.lit(x) for x in levels or [0])), lambda x: x >= F.col("_own"))))
+        return df.withColumn("_slot", F.explode(F.sequence(slot(F.col(s)), slot(F.col(e) + slack))))
+
+    met = spread(a, start, end).join(spread(b, f"{start}_2", f"{end}_2").withColumnRenamed("_own", "_other"), [*keys, "_level", "_slot"])
     meet = F.greatest(start, f"{start}_2") <= F.least(end, f"{end}_2") + slack
-    first = slot(F.greatest(F.col(start), F.col(f"{start}_2")))
-    return a.join(b, [*keys, "_slot"]).filter(meet & (F.col("_slot") == first)).drop("_slot")
+    once = (F.col("_slot") == slot(F.greatest(F.col(start), F.col(f"{start}_2")))) & (F.col("_level") == F.greatest("_own", "_other"))
+    return met.filter(meet & once).drop("_slot", "_level", "_own", "_other")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, payload: list[str]) -> DataFrame:
@@ -60,9 +76,13 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, paylo
 
 def thinned(times: Column, gap: float) -> Column:
     """Of ascending times the first, and then each at least ``gap`` after the last kept."""
-    start = F.array().cast("array<double>")
-    far = lambda kept, t: (F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap - 1e-6)
-    return F.aggregate(times, start, lambda kept, t: F.when(far(kept, t), F.concat(kept, F.array(t))).otherwise(kept))
+
+    def step(last: Column, t: Column) -> tuple[Column, Column]:
+        far = last.isNull() | (t - last >= gap - 1e-6)
+        return F.when(far, t).otherwise(last), F.when(far, t)
+
+    kept = scan(times, F.lit(None).cast("double"), step, "double")
+    return F.filter(kept, lambda t: t.isNotNull())
 
 
 def every_kth(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:

@@ -42,7 +42,8 @@ class Question:
 #: Hours of the named parts of a day; the night ends with its day.
 DAY_PARTS = {"morning": (6, 12), "afternoon": (12, 17), "evening": (17, 21), "night": (21, 24)}
 _CLOCK = r"(\d{1,2})(?::(\d{2}))?\s*(am|pm)?"
-_FILLERS = re.compile(r"\b(?:show|find|me|the|a|an|on|at|in|from|please)\b", re.I)
+#: Words that a question loses besides its filters.
+_FILLERS = re.compile(r"\b(?:at|on|from|in|during|show|find|all|the)\b", re.I)
 
 
 def _hours(hour: str, minute: str | None, half: str | None) -> float:
@@ -109,3 +110,32 @@ def question_filter(question: Question, camera: str | None = None, base_epoch: f
     if "camera_timestamp" in where:
         where["camera_timestamp"] = {op: v - base_epoch for op, v in where["camera_timestamp"].items()}
     return compile_where(where)
+
+
+# Small filters of rows
+
+
+def detected(classes: list[int], least: float = 0.25) -> Column:
+    """Detections of the classes, sure enough; of every class for none."""
+    sure = F.col("score") >= least
+    return sure & F.col("class_id").isin(classes) if classes else sure
+
+
+def large_enough(width: float, height: float, share: float = 0.0) -> Column:
+    """Boxes that take more than a share of the frame."""
+    return (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / (width * height) > share
+
+
+def up_to_frame(most: int | None) -> Column:
+    """Frames up to a number; all without one."""
+    return F.lit(True) if most is None else F.col("frame") <= most
+
+
+def confirmed() -> Column:
+    """Tracks that were ever activated."""
+    return F.coalesce(F.col("is_activated"), F.lit(False))
+
+
+def among(column: str, wanted: list) -> Column:
+    """Rows of the wanted values; every row for none."""
+    return F.col(column).isin(wanted) if wanted else F.lit(True)

@@ -95,41 +95,53 @@ def smoothed(values: Column, alpha: float = 0.9) -> Column:
 
 
 # Piecewise models, as plain dictionaries of SEGMENT's fields.
-SEGMENT = "struct<type:string,t0:double,t1:double,x:array<double>,y:array<double>,knots:array<double>,max_error:double>"
-COMPRESSED = f"track_id long, start_time double, end_time double, n long, segments array<{SEGMENT}>, size_type string, w array<double>, h array<double>, size_knots array<double>, total_distance double, avg_speed double, max_speed double, mean_error double, max_error double"
+SEGMENT = "struct<type:string,t0:double,t1:double,x:array<double>,y:array<double>,knots:array<double>,mx:array<double>,my:array<double>,max_error:double>"
+COMPRESSED = f"track_id long, start_time double, end_time double, n long, segments array<{SEGMENT}>, size_type string, w array<double>, h array<double>, size_knots array<double>, total_distance double, avg_speed double, max_speed double, avg_acceleration double, mean_error double, max_error double"
 
 
 def spline(t: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Second derivatives at the knots of the not-a-knot cubic through (t, v).
+    """Second derivatives at the knots of the not-a-knot cubic through (t, v), of one or more columns.
 
-    Two points give a line, three the parabola through them.
+    Two points give a line, three the parabola through them. The end conditions give the outer two
+    in terms of their neighbours, so the others solve a tridiagonal system, in linear time.
     """
     n = len(t)
-    m = np.zeros(n)
+    m = np.zeros(v.shape)
     if n < 3:
         return m
     d = np.diff(t)
-    slope = np.diff(v) / d
+    slope = np.diff(v, axis=0) / (d if v.ndim == 1 else d[:, None])
     if n == 3:
-        return np.full(3, 2 * (slope[1] - slope[0]) / (t[2] - t[0]))
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = d[i - 1], 2 * (d[i - 1] + d[i]), d[i]
-        b[i] = 6 * (slope[i] - slope[i - 1])
-    a[0, :3] = d[1], -(d[0] + d[1]), d[0]
-    a[-1, -3:] = d[-1], -(d[-2] + d[-1]), d[-2]
-    return np.linalg.solve(a, b)
-
-
-def spline_at(t: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Values of the cubic; times outside the knots are moved to the ends."""
+        return m + 2 * (slope[1] - slope[0]) / (t[2] - t[0])
+    low, mid, high = d[:-1].copy(), 2 * (d[:-1] + d[1:]), d[1:].copy()
+    right = 6 * np.diff(slope, axis=0)
+    # m[0] = m[1] + (m[1] - m[2]) * d[0] / d[1], and alike at the end
+    mid[0] += d[0] * (1 + d[0] / d[1])
+    high[0] -= d[0] * d[0] / d[1]
+    mid[-1] += d[-1] * (1 + d[-1] / d[-2])
+    low[-1] -= d[-1] * d[-1] / d[-2]
+    for i in range(1, n - 2):
+        f = low[i] / mid[i - 1]
+        mid[i] -= f * high[i - 1]
+        right[i] -= f * right[i - 1]
+    m[n - 2] = right[-1] / mid[-1]
+    for i in range(n - 4, -1, -1):
+        m[i + 1] = (right[i] - high[i] * m[i + 2]) / mid[i]
+    m[0] = m[1] + (m[1] - m[2]) * d[0] / d[1]
+    m[-1] = m[-2] + (m[-2] - m[-3]) * d[-1] / d[-2]
+    return m
+
+
+def spline_at(t: np.ndarray, v: np.ndarray, at: np.ndarray, m: np.ndarray | None = None, slope: bool = False) -> np.ndarray:
+    """Values, or slopes, of the cubic; times outside the knots are moved to the ends."""
     at = np.clip(at, t[0], t[-1])
     if len(t) == 1:
-        return np.full(len(at), v[0])
-    m = spline(t, v)
+        return np.full(len(at), 0.0 if slope else v[0])
+    m = spline(t, v) if m is None or not len(m) else m
     i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
     d, left, right = t[i + 1] - t[i], t[i + 1] - at, at - t[i]
+    if slope:
+        return (m[i + 1] * right**2 - m[i] * left**2) / (2 * d) + (v[i + 1] - v[i]) / d - (m[i + 1] - m[i]) * d / 6
     return (m[i] * left**3 + m[i + 1] * right**3) / (6 * d) + (v[i] / d - m[i] * d / 6) * left + (v[i + 1] / d - m[i + 1] * d / 6) * right
 
 
@@ -157,12 +169,25 @@ def segments(t: np.ndarray, xy: np.ndarray, turn: float = 0.5, speed_change: flo
     v = np.vstack([v, v[-1]])
     heading, speed = np.arctan2(v[:, 1], v[:, 0]), np.hypot(v[:, 0], v[:, 1])
 
+    # sums over the rows before each, by which a stretch's line needs no pass over it
+    shifted = t - t[0]
+    centred = xy - xy.mean(axis=0)
+    sums = np.vstack([np.zeros(6), np.cumsum(np.column_stack([shifted, shifted**2, centred, shifted[:, None] * centred]), axis=0)])
+
     def breaks(first: int, row: int) -> bool:
         if _wrapped(heading[row] - heading[first]) > turn or abs(speed[row] - speed[first]) / max(1.0, speed[first]) > speed_change:
             return True
-        part = slice(first, row + 1)
-        off = [xy[part, k] - np.polyval(line(t[part], xy[part, k]), t[part]) for k in (0, 1)]
-        return bool(np.hypot(*off).max() > error)
+        k = row + 1 - first
+        st, stt, sx, sy, stx, sty = (sums[row + 1] - sums[first]) / k
+        spread = stt - st * st
+        part = shifted[first : row + 1] - st
+        if spread <= 1e-12 * max(1.0, stt):
+            slopes = (0.0, 0.0)
+        else:
+            slopes = ((stx - st * sx) / spread, (sty - st * sy) / spread)
+        off_x = centred[first : row + 1, 0] - sx - slopes[0] * part
+        off_y = centred[first : row + 1, 1] - sy - slopes[1] * part
+        return bool((off_x * off_x + off_y * off_y).max() > error * error)
 
     cuts, row = [0], 1
     while row < n:
@@ -182,36 +207,72 @@ def segments(t: np.ndarray, xy: np.ndarray, turn: float = 0.5, speed_change: flo
 
 def fit(t: np.ndarray, xy: np.ndarray) -> dict:
     """The model of one stretch: constant where it stands still, a line for few rows, else a cubic."""
-    base = {"t0": float(t[0]), "t1": float(t[-1]), "knots": []}
+    base = {"t0": float(t[0]), "t1": float(t[-1]), "knots": [], "mx": [], "my": []}
     if xy.var(axis=0).sum() < 1.0:
         model = base | {"type": "constant", "x": [float(xy[:, 0].mean())], "y": [float(xy[:, 1].mean())]}
     elif len(t) <= 3 or len(np.unique(t)) < len(t):
         model = base | {"type": "linear", "x": list(line(t, xy[:, 0])), "y": list(line(t, xy[:, 1]))}
     else:
-        model = base | {"type": "spline", "x": xy[:, 0].tolist(), "y": xy[:, 1].tolist(), "knots": t.tolist()}
+        bend = spline(t, xy)
+        model = base | {"type": "spline", "x": xy[:, 0].tolist(), "y": xy[:, 1].tolist(), "knots": t.tolist(), "mx": bend[:, 0].tolist(), "my": bend[:, 1].tolist()}
     model["max_error"] = float(np.hypot(*(positions([model], t) - xy).T).max())
     return model
 
 
-def positions(models: list[dict], at: np.ndarray) -> np.ndarray:
-    """Places at some times: in the first stretch that holds a time, else in the nearest."""
+def positions(models: list[dict], at: np.ndarray, slope: bool = False) -> np.ndarray:
+    """Places, or velocities, at some times: in the first stretch that holds a time, else in the nearest."""
     out = np.empty((len(at), 2))
     starts, ends = np.array([m["t0"] for m in models]), np.array([m["t1"] for m in models])
-    away = np.maximum(np.maximum(starts[None, :] - at[:, None], at[:, None] - ends[None, :]), 0)
-    own = away.argmin(axis=1)
+    # stretches follow one another: the last that begins at or before a time, or the one before that ends there
+    own = np.clip(np.searchsorted(starts, at, side="right") - 1, 0, len(models) - 1)
+    before, after = np.maximum(own - 1, 0), np.minimum(own + 1, len(models) - 1)
+    own = np.where((at <= ends[before]) & (at >= starts[before]), before, own)
+    gap = at > ends[own]
+    own = np.where(gap & (starts[after] - at < at - ends[own]) & (starts[after] > at), after, own)
     for k in np.unique(own):
         m, rows = models[k], own == k
-        for axis, values in enumerate((m["x"], m["y"])):
+        for axis, (values, bend) in enumerate(((m["x"], m.get("mx")), (m["y"], m.get("my")))):
             values = np.asarray(values, dtype=float)
             if m["type"] == "constant":
-                out[rows, axis] = values[0]
+                out[rows, axis] = 0.0 if slope else values[0]
             elif m["type"] == "linear":
-                out[rows, axis] = np.polyval(values, at[rows])
+                out[rows, axis] = values[0] if slope else np.polyval(values, at[rows])
             else:
-                out[rows, axis] = spline_at(np.asarray(m["knots"], dtype=float), values, at[rows])
+                out[rows, axis] = spline_at(np.asarray(m["knots"], dtype=float), values, at[rows], None if bend is None else np.asarray(bend, dtype=float), slope)
     return out
 
 
+def velocity_at(models: list[dict], at: np.ndarray) -> np.ndarray:
+    return positions(models, at, slope=True)
+
+
+def acceleration_at(models: list[dict], at: np.ndarray, step: float = 1e-3) -> np.ndarray:
+    """Central differences of the velocity."""
+    return (velocity_at(models, at + step) - velocity_at(models, at - step)) / (2 * step)
+
+
+def curvature_at(models: list[dict], at: np.ndarray) -> np.ndarray:
+    """How sharply the path bends; 0 where it hardly moves."""
+    v, a = velocity_at(models, at), acceleration_at(models, at)
+    speed = np.hypot(*v.T)
+    turn = np.abs(v[:, 0] * a[:, 1] - v[:, 1] * a[:, 0])
+    return np.divide(turn, speed**3, out=np.zeros(len(at)), where=speed >= 1e-6)
+
+
+def frame_at(frames: np.ndarray, times: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The frame, halves to even, that plays at some times; times outside are moved to the ends."""
+    return np.round(np.interp(at, times, frames)).astype(np.int64)
+
+
+def time_at(frames: np.ndarray, times: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.interp(at, frames, times)
+
+
+def confidence_at(times: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The detector's confidence between observations, in [0, 1]."""
+    return np.clip(np.interp(at, times, values), 0.0, 1.0)
+
+
 def sizes(t: np.ndarray, wh: np.ndarray, turning: bool) -> dict:
     """The model of widths and heights: cubic where the track turns or a line is far off."""
     if len(t) == 1:
@@ -245,13 +306,15 @@ def size_at(model: dict, at: np.ndarray) -> np.ndarray:
 
 
 def statistics(models: list[dict], samples: int = 100) -> dict:
-    """Distance and speeds of the path sampled evenly in time."""
+    """Distance, speeds and mean acceleration of the path, sampled evenly in time."""
     t0, t1 = models[0]["t0"], models[-1]["t1"]
     if t1 <= t0:
-        return {"total_distance": 0.0, "avg_speed": 0.0, "max_speed": 0.0}
+        return {"total_distance": 0.0, "avg_speed": 0.0, "max_speed": 0.0, "avg_acceleration": 0.0}
     at = np.linspace(t0, t1, samples)
-    steps = np.hypot(*np.diff(positions(models, at), axis=0).T)
-    return {"total_distance": float(steps.sum()), "avg_speed": float(steps.sum() / (t1 - t0)), "max_speed": float((steps / np.diff(at)).max())}
+    v = velocity_at(models, at)
+    steps, speed = np.hypot(*np.diff(positions(models, at), axis=0).T), np.hypot(*v.T)
+    change = np.hypot(*(np.diff(v, axis=0) / np.diff(at)[:, None]).T)
+    return {"total_distance": float(steps.sum()), "avg_speed": float(speed.mean()), "max_speed": float(speed.max()), "avg_acceleration": float(change.mean())}
 
 
 def _turning(xy: np.ndarray, t: np.ndarray) -> bool:
@@ -275,12 +338,13 @@ def compress(track: pd.DataFrame) -> dict:
 
 
 def compressed(df: DataFrame) -> DataFrame:
-    """One row of ``COMPRESSED`` per track; a track is one group."""
+    """One row of ``COMPRESSED`` per track; a track is one group, rows without time or place don't count."""
 
     def one(track: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"track_id": track["track_id"].iloc[0]} | compress(track)])[[c.split()[0] for c in COMPRESSED.replace(f"array<{SEGMENT}>", "x").split(", ")]]
 
-    return df.select("track_id", "frame", "ts", "x", "y", "w", "h").groupBy("track_id").applyInPandas(one, COMPRESSED)
+    fine = df.filter(F.col("ts").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    return fine.select("track_id", "frame", "ts", "x", "y", "w", "h").groupBy("track_id").applyInPandas(one, COMPRESSED)
 
 
 def reconstruct(models: DataFrame, times: DataFrame) -> DataFrame:
@@ -290,7 +354,7 @@ def reconstruct(models: DataFrame, times: DataFrame) -> DataFrame:
 
     def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, r in batch.iterrows():
+            for r in batch.to_dict("records"):
                 at = np.asarray(r["at"], dtype=float)
                 c, wh = positions(list(r["segments"]), at), size_at(r, at)
                 low, high = c - wh / 2, c + wh / 2
@@ -350,3 +414,196 @@ def similarity(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
     both = both.select("a", "b", *(v.alias(k) for k, v in parts.items()), F.coalesce(distance, F.lit(999.0)).alias("distance"))
     overall = sum((w * F.col(k) for w, k in zip(PARTS, parts, strict=True)), F.lit(0.0)) / sum(PARTS)
     return both.withColumn("overall", F.least(F.lit(1.0), F.greatest(F.lit(0.0), overall)))
+
+
+# Two tracks over the time they share
+
+
+def intersection(a: tuple[float, float], b: tuple[float, float]) -> tuple[float, float] | None:
+    """The closed time that two tracks share; one instant counts."""
+    start, end = max(a[0], b[0]), min(a[1], b[1])
+    return (start, end) if start <= end else None
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of 2-D vectors by row; 0 where one hardly moves."""
+    sizes = np.hypot(*a.T), np.hypot(*b.T)
+    fine = (sizes[0] >= 1e-6) & (sizes[1] >= 1e-6)
+    return np.divide((a * b).sum(axis=1), sizes[0] * sizes[1], out=np.zeros(len(a)), where=fine)
+
+
+def alongside(models: DataFrame, pairs: DataFrame, samples: int = PATH_POINTS) -> DataFrame:
+    """``a, b, start, end, distance, alignment`` of pairs of ``COMPRESSED`` tracks.
+
+    Mean distance and mean cosine of the velocities over the time both share, evenly sampled; all
+    null where they share none.
+    """
+    side = lambda e: models.select(F.col("track_id").alias(e), F.struct("segments", "start_time", "end_time").alias(f"_{e}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, ma, mb in zip(*(batch[c].tolist() for c in ("a", "b", "_a", "_b")), strict=True):
+                shared = intersection((ma["start_time"], ma["end_time"]), (mb["start_time"], mb["end_time"]))
+                if shared is None:
+                    rows.append((a, b, None, None, None, None))
+                    continue
+                at = np.linspace(*shared, samples if shared[0] < shared[1] else 1)
+                pa, pb = positions(list(ma["segments"]), at), positions(list(mb["segments"]), at)
+                like = _alike(velocity_at(list(ma["segments"]), at), velocity_at(list(mb["segments"]), at))
+                rows.append((a, b, *shared, float(np.hypot(*(pa - pb).T).mean()), float(like.mean())))
+            yield pd.DataFrame(rows, columns=["a", "b", "start", "end", "distance", "alignment"])
+
+    return both.select("a", "b", "_a", "_b").mapInPandas(compared, "a long, b long, start double, end double, distance double, alignment double")
+
+
+# Measures, samples and documents of compressed tracks
+
+
+def fidelity(seen: DataFrame, models: DataFrame) -> DataFrame:
+    """Per track how far the boxes rebuilt from its models are from those ``seen``, and how much smaller they are.
+
+    ``seen``: track_id, ts, x, y, w, h. Six numbers per observation stand against the numbers of the models.
+    """
+    rebuilt = reconstruct(models, seen.select("track_id", "ts").distinct())
+    box = geometry.from_center(*(F.col(c) for c in ("x", "y", "w", "h")))
+    both = seen.join(rebuilt, ["track_id", "ts"]).withColumn("_iou", geometry.iou(box, [F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+    cx, cy = geometry.centre([F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    off = F.hypot(cx - F.col("x"), cy - F.col("y"))
+    by = both.groupBy("track_id").agg(
+        F.avg(off).alias("mean_error"), F.max(off).alias("max_error"), F.avg(F.abs(F.col("x2") - F.col("x1") - F.col("w"))).alias("mean_width_error"),
+        F.avg(F.abs(F.col("y2") - F.col("y1") - F.col("h"))).alias("mean_height_error"), F.avg("_iou").alias("mean_iou"), F.min("_iou").alias("min_iou"), F.count("*").alias("n"),
+    )
+    of = lambda s: F.when(s.type == "constant", 4).when(s.type == "linear", 6).otherwise(2 + 3 * F.size(s.knots))
+    size = F.when(F.col("size_type") == "constant", 2).when(F.col("size_type") == "linear", 4).otherwise(3 * F.size("size_knots"))
+    numbers = F.aggregate(F.transform("segments", of), F.lit(0), lambda a, n: a + n) + size
+    sizes_ = models.select("track_id", numbers.alias("_numbers"))
+    return by.join(sizes_, "track_id").withColumn("compression_ratio", 6 * F.col("n") / F.greatest(F.lit(1), "_numbers")).drop("n", "_numbers")
+
+
+def _sampled_times(frames: np.ndarray, times: np.ndarray, gap: float) -> list[tuple[int, float]]:
+    """(frame, time) every ``gap`` seconds, moved to the nearest frame, no frame twice; all for no gap."""
+    if gap <= 0:
+        return list(zip(frames.tolist(), times.tolist(), strict=True))
+    found: list[tuple[int, float]] = []
+    t, last = float(times[0]), None
+    while t <= times[-1] + 1e-9:
+        frame = int(frame_at(frames, times, np.array([t]))[0])
+        if frame == last:
+            t += max(gap, 0.1)
+            continue
+        at = float(time_at(frames, times, np.array([frame]))[0])
+        found.append((frame, at))
+        t, last = max(at + gap, t + 1e-9), frame
+    return found
+
+
+def sampled(models: DataFrame, observed: DataFrame, gap: float) -> DataFrame:
+    """``track_id, frame, ts, x1 .. y2``: boxes of compressed tracks every ``gap`` seconds, at whole frames.
+
+    ``observed(track_id, frame, ts)`` tells when which frame played.
+    """
+    schema = "track_id long, frame long, ts double, x1 double, y1 double, x2 double, y2 double"
+    played = observed.groupBy("track_id").agg(F.sort_array(F.collect_set(F.struct("frame", "ts"))).alias("played"))
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                frames, times = np.array([p["frame"] for p in r["played"]]), np.array([p["ts"] for p in r["played"]], dtype=float)
+                taken = _sampled_times(frames, times, gap)
+                at = np.array([t for _, t in taken])
+                c, wh = positions(list(r["segments"]), at), size_at(r, at)
+                low, high = c - wh / 2, c + wh / 2
+                yield pd.DataFrame({"track_id": r["track_id"], "frame": [f for f, _ in taken], "ts": at, "x1": low[:, 0], "y1": low[:, 1], "x2": high[:, 0], "y2": high[:, 1]})
+
+    return models.join(played, "track_id").select("track_id", "segments", "size_type", "w", "h", "size_knots", "played").mapInPandas(boxes, schema)
+
+
+def active(tracks: DataFrame, at: Column) -> DataFrame:
+    """Tracks that run at a time: started, and not yet ended."""
+    return tracks.filter((F.col("start_time") <= at) & (at < F.col("end_time")))
+
+
+def trail_times(now: Column, start: Column, end: Column, length: float = 3.0, per_second: int = 40) -> Column:
+    """Times of the last ``length`` seconds of a track up to ``now``, evenly apart; none before it starts."""
+    a, b = F.greatest(start, now - length), F.least(now, end)
+    n = F.greatest(F.lit(2), F.ceil((b - a) * per_second).cast("int"))
+    return F.when(b > a, F.transform(F.sequence(F.lit(0), n - 1), lambda i: a + (b - a) * i / (n - 1)))
+
+
+def document() -> Column:
+    """A row of ``COMPRESSED`` (with ``class_label``, ``camera``, ``frames``, ``times``, ``confidences``) as JSON.
+
+    Fields that a kind of model doesn't have are left out. Fixed values: the names of the fields.
+    """
+    first = lambda v, i=0: F.get(v, F.lit(i))
+
+    def segment(s: Column) -> Column:
+        still, line = s.type == "constant", s.type == "linear"
+        numbers = F.struct(
+            F.when(still, first(s.x)).alias("cx"), F.when(still, first(s.y)).alias("cy"), F.when(line, first(s.x)).alias("a"), F.when(line, first(s.x, 1)).alias("b"),
+            F.when(line, first(s.y)).alias("c"), F.when(line, first(s.y, 1)).alias("d"),
+        )
+        points = F.transform(F.arrays_zip(s.knots.alias("t"), s.x.alias("x"), s.y.alias("y")), lambda p: F.array(p.t, p.x, p.y))
+        return F.struct(s.type.alias("type"), s.t0.alias("t0"), s.t1.alias("t1"), F.when(still | line, numbers).alias("parameters"), F.when(~(still | line), points).alias("control_points"), s.max_error.alias("max_error"))
+
+    def size(v: str) -> Column:
+        still, line = F.col("size_type") == "constant", F.col("size_type") == "linear"
+        numbers = F.struct(F.when(still, first(F.col(v))).alias("val"), F.when(line, first(F.col(v))).alias("a"), F.when(line, first(F.col(v), 1)).alias("b"))
+        points = F.zip_with("size_knots", v, lambda t, x: F.array(t, x))
+        return F.struct(F.col("size_type").alias("type"), F.when(still | line, numbers).alias("parameters"), F.when(~(still | line), points).alias("control_points"))
+
+    played = F.col("times").alias("timestamps")
+    return F.to_json(F.struct(
+        "track_id", F.col("class_label").alias("class"), "camera", "start_time", "end_time", F.struct(F.transform("segments", segment).alias("segments")).alias("trajectory"),
+        size("w").alias("width_model"), size("h").alias("height_model"), F.struct("frames", played).alias("time_model"), F.struct(played, "confidences", "frames").alias("confidence_model"),
+        F.struct("avg_speed", "max_speed", "total_distance", "avg_acceleration").alias("statistics"),
+    ))
+
+
+_PART = "struct<type:string,t0:double,t1:double,max_error:double,parameters:map<string,double>,control_points:array<array<double>>>"
+_SIZE = "struct<type:string,parameters:map<string,double>,control_points:array<array<double>>>"
+#: The form of a track's document.
+DOCUMENT = (
+    f"track_id long, class string, camera string, start_time double, end_time double, trajectory struct<segments:array<{_PART}>>, width_model {_SIZE}, height_model {_SIZE}, "
+    "time_model struct<frames:array<long>,timestamps:array<double>>, confidence_model struct<timestamps:array<double>,confidences:array<double>,frames:array<long>>, "
+    "statistics struct<avg_speed:double,max_speed:double,total_distance:double,avg_acceleration:double>"
+)
+
+
+def parsed(documents: DataFrame, text: str = "model") -> DataFrame:
+    """Compressed tracks of JSON documents, with ``class_label``, ``camera``, ``frames``, ``times``, ``confidences``.
+
+    Times of width and height points are joined, 1 where one is missing; unlike size models are
+    constants of 1; without confidences all are 1.
+    """
+    d = documents.select(F.from_json(text, DOCUMENT).alias("d")).filter(F.col("d.track_id").isNotNull()).select("d.*")
+    of = lambda s, *names: F.array(*(F.element_at(s.parameters, n) for n in names))
+    column = lambda s, i: F.transform(s.control_points, lambda p: F.get(p, F.lit(i)))
+    none = F.array().cast("array<double>")
+
+    def segment(s: Column) -> Column:
+        pick = lambda c, line, k: F.when(s.type == "constant", of(s, c)).when(s.type == "linear", of(s, *line)).otherwise(column(s, k))
+        knots = F.when(s.type == "spline", column(s, 0)).otherwise(none)
+        return F.struct(s.type.alias("type"), s.t0.alias("t0"), s.t1.alias("t1"), pick("cx", "ab", 1).alias("x"), pick("cy", "cd", 2).alias("y"), knots.alias("knots"), none.alias("mx"), none.alias("my"), F.coalesce(s.max_error, F.lit(0.0)).alias("max_error"))
+
+    w, h = F.col("width_model"), F.col("height_model")
+    times = F.array_sort(F.array_union(column(w, 0), column(h, 0)))
+    at = lambda s: F.map_from_entries(F.transform(s.control_points, lambda p: F.struct(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
+    kind = F.when((w.type == h.type) & w.type.isin("constant", "linear", "spline"), w.type).otherwise(F.lit("constant"))
+    same = w.type == h.type
+
+    def values(s: Column) -> Column:
+        constant = F.when(same & (s.type == "constant"), of(s, "val")).otherwise(F.array(F.lit(1.0)))
+        spline_ = F.transform(times, lambda t: F.coalesce(F.try_element_at(at(s), t), F.lit(1.0)))
+        return F.when(kind == "linear", of(s, "a", "b")).when(kind == "spline", spline_).otherwise(constant)
+
+    sure, played = F.col("confidence_model"), F.col("time_model.timestamps")
+    ones = F.transform(played, lambda t: F.lit(1.0))
+    return d.select(
+        "track_id", F.col("class").alias("class_label"), "camera", "start_time", "end_time", F.size(played).cast("long").alias("n"), F.transform("trajectory.segments", segment).alias("segments"),
+        kind.alias("size_type"), values(w).alias("w"), values(h).alias("h"), F.when(kind == "spline", times).otherwise(none).alias("size_knots"),
+        *(F.coalesce(F.col(f"statistics.{c}"), F.lit(0.0)).alias(c) for c in ("total_distance", "avg_speed", "max_speed", "avg_acceleration")),
+        F.col("time_model.frames").alias("frames"), played.alias("times"), F.coalesce(sure.confidences, ones).alias("confidences"),
+    )

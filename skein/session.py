@@ -55,10 +55,13 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is made and set.
+    Where the setting is absent a local session (tests) makes and sets a temporary folder; a
+    cluster must name one, since its machines share no local folder.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -81,7 +84,7 @@ def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_DROP, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, cutting its lineage.
 
     Unlike executor-local caches the files survive the loss of any executor. They are removed
@@ -90,7 +93,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skein-{name}-{uuid.uuid4().hex}"
     with _dropping_shuffles(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN.append((spark, path))

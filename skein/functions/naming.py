@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: 2026-08-02T00:00:00Z, to which camera offsets are relative.
+#: Fixed value: 2026-08-02T00:00:00Z, to which camera offsets are relative.
 BASE_EPOCH = 1785628800
 #: Detector classes that are vehicles.
 CLASSES = {2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
@@ -19,8 +19,31 @@ def iso_time(seconds: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
 
 
+def asked_camera(name: Column) -> Column:
+    """cam_N from clipN names, as questions name cameras; other names without their ending."""
+    number = F.regexp_extract(name, r"clip(\d+)", 1)
+    return F.when(number != "", F.concat(F.lit("cam_"), number)).otherwise(F.regexp_replace(name, r"\.\w+$", ""))
+
+
+#: How flat crop files name their track.
+TRACK_FILE = r"^([a-zA-Z0-9_.]+\.mp4_\d+|[a-zA-Z0-9_.]+\.avi_\d+|clip\d+\.mp4_\d+|c\d+_\d+)"
+
+
+def track_of_file(name: Column) -> Column:
+    """The track of a flat crop file: by its form, else what is before ``_frame_`` or the ending."""
+    own = F.regexp_extract(name, TRACK_FILE, 1)
+    before = F.when(F.contains(name, F.lit("_frame_")), F.substring_index(name, "_frame_", 1)).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
+    return F.when(own != "", own).otherwise(before)
+
+
+def clock(seconds: Column) -> Column:
+    """HH:MM:SS of an offset in seconds."""
+    whole = F.floor(seconds).cast("long")
+    return F.concat_ws(":", *(F.lpad(part.cast("string"), 2, "0") for part in (F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)))
+
+
 def camera_id(clip: Column) -> Column:
-    """c001 from names that hold it, c%03d from clipN, else the name without its ending."""
+    """The forms of camera names. c001 from names that hold it, c%03d from clipN, else the name without its ending."""
     stem = F.regexp_replace(clip, r"\.(mp4|avi)$", "")
     own, number = F.regexp_extract(stem, r"(c\d{3}|c\d+)", 1), F.regexp_extract(stem, r"clip(\d+)", 1)
     numbered = F.concat(F.lit("c"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))
@@ -45,7 +68,7 @@ def class_name(class_id: Column) -> Column:
 
 
 def crop_fields(name: Column, fps: float = 30.0) -> tuple[Column, Column]:
-    """Frame and time of frame_000012_t3.50 names; the time else follows from the frame."""
+    """The form of crop names. Frame and time of frame_000012_t3.50 names; the time else follows from the frame."""
     frame = F.coalesce(F.regexp_extract(name, r"frame_(\d+)", 1).try_cast("int"), F.lit(-1))
     time = F.regexp_extract(name, r"_t(\d+(?:\.\d+)?)", 1).try_cast("double")
     return frame, F.coalesce(time, F.when(frame >= 0, frame / fps), F.lit(0.0))
@@ -57,4 +80,5 @@ def stable_id(text: Column, most: int = 10_000_000) -> Column:
 
 
 def model_by_dimension(dim: Column) -> Column:
+    """The models that make vectors of these sizes."""
     return F.when(dim == 768, "clip-vit-large").when(dim == 512, "clip-vit-base").when(dim == 1152, "siglip2").otherwise("default")

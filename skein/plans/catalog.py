@@ -14,9 +14,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions import geometry, naming, vectors
-from skein.operators import clustering, fusion, identity, metrics, predicates, search, selection, tables, temporal, tracks
+from skein.operators import clustering, fusion, identity, metrics, predicates, profiles, retrieval, search, selection, tables, temporal, tracks
 from skein.operators.components import components
+from skein.plans import stages
 from skein.plans.sql import SQL
+from skein.sources import ingest
 from skein.sources.tables import table
 from skein.streaming import lifecycle
 
@@ -188,10 +190,8 @@ def plane_projection(spark: SparkSession, d: str) -> DataFrame:
 @query
 def reid_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The query set against all vectors, its own included, as the harness does."""
-    ranked = search.knn_sets(_query_set(spark, d), _gallery(spark, d), None, "similarity")
-    of = lambda c, to: _gallery(spark, d).select(F.col("vec_id").alias(c), F.col("label").alias(to))
-    hits = ranked.join(of("query_id", "ql"), "query_id").join(of("item_id", "gl"), "item_id")
-    return metrics.reid(hits.select("query_id", "rank", (F.col("ql") == F.col("gl")).cast("int").alias("hit")))
+    ranked = search.positive_ranks(_query_set(spark, d), _gallery(spark, d))
+    return metrics.reid(ranked.select("query_id", "rank", F.lit(1).alias("hit")))
 
 
 @query
@@ -468,12 +468,9 @@ def _moving(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def compression_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Per track how far the boxes rebuilt from its models are from those observed."""
-    seen = _moving(spark, d).withColumns({f"o{i}": c for i, c in enumerate(geometry.from_center(*(F.col(c) for c in ("x", "y", "w", "h"))))})
-    rebuilt = tracks.reconstruct(tracks.compressed(seen), seen.select("track_id", "ts").distinct())
-    both = seen.join(rebuilt, ["track_id", "ts"]).withColumn("iou", geometry.iou([F.col(f"o{i}") for i in range(4)], [F.col(c) for c in ("x1", "y1", "x2", "y2")]))
-    off = F.sqrt(F.pow((F.col("x1") + F.col("x2")) / 2 - F.col("x"), 2) + F.pow((F.col("y1") + F.col("y2")) / 2 - F.col("y"), 2))
-    return both.groupBy("track_id").agg(F.avg(off).alias("mean_error"), F.max(off).alias("max_error"), F.avg("iou").alias("mean_iou"), F.min("iou").alias("min_iou"))
+    """Per track how far the boxes rebuilt from its models are from those observed, and their size."""
+    seen = _moving(spark, d)
+    return tracks.fidelity(seen, tracks.compressed(seen))
 
 
 @query
@@ -490,7 +487,8 @@ def tracker_events(spark: SparkSession, d: str) -> DataFrame:
 def mean_pool_prototypes(spark: SparkSession, d: str) -> DataFrame:
     """Per label and camera one unit prototype."""
     g = _gallery(spark, d).withColumn("track_id", F.col("label") * 4 + F.col("vec_id") % 4)
-    return fusion.pooled(g.withColumn("track_id", F.col("track_id").cast("long")), "mean")
+    p = fusion.pooled(g.withColumn("track_id", F.col("track_id").cast("long")), "mean")
+    return p.select("track_id", "n", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query
@@ -498,7 +496,8 @@ def crop_plan(spark: SparkSession, d: str) -> DataFrame:
     """Which crops to cut at each time: tracks sampled a day apart, gathered by whole hour."""
     by = _observations(spark, d).groupBy("track_id").agg(F.sort_array(F.collect_list("ts")).alias("at"))
     picked = by.select("track_id", F.explode(temporal.thinned(F.col("at"), 86400.0)).alias("ts"))
-    return picked.groupBy(F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n_crops"), F.sort_array(F.collect_list("track_id")).alias("track_ids"))
+    plan = picked.groupBy(F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count("*").alias("n_crops"), F.sort_array(F.collect_list("track_id")).alias("track_ids"))
+    return plan.select("hour", "n_crops", F.array_join("track_ids", ",").alias("track_ids"))
 
 
 @query
@@ -507,3 +506,251 @@ def merged_histories(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value", "event_type")
     last = lambda kind: tables.upsert(e.filter(F.col("event_type") == kind), ["user_id", "day"], ["event_id"])
     return tables.merged_history(last("click"), last("view"), ["user_id", "day"]).select("user_id", F.col("day").cast("string").alias("day"), "event_id", "event_type")
+
+
+def _single_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One line per order and number."""
+    line = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    return line.agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_quantity", "l_discount", "l_tax")))
+
+
+@query
+def mot_spaced(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes too far apart to compete; each identity is found under two ids, so the better one counts."""
+    line = _single_lines(spark, d)
+    x = F.col("l_linenumber") * 1000.0
+    frame = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("frame")
+    box = lambda shift: [(x + shift).alias("x1"), F.lit(0.0).alias("y1"), (x + shift + 40).alias("x2"), F.lit(20.0).alias("y2")]
+    truth = line.select(F.lit("f").alias("feed"), frame, F.col("l_partkey").alias("id"), *box(F.lit(0.0)))
+    twice = (F.col("l_partkey") * 2 + (F.col("l_quantity") > 20).cast("int")).alias("id")
+    found = line.filter("l_tax > 0.01").select(F.lit("f").alias("feed"), frame, twice, *box(F.col("l_discount") * 400))
+    return metrics.tracking(truth, found)
+
+
+@query
+def assignment_is_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    """Of the optimal matches no track of a feed pair and class comes twice, and none is under the threshold."""
+    m = identity.match_feeds(_tracks(spark, d), 0.3)
+    return m.agg(
+        (F.countDistinct("feed_b", "track_a") == F.count("*")).alias("one_a"), (F.countDistinct("feed_a", "track_b") == F.count("*")).alias("one_b"), (F.min("similarity") >= 0.3).alias("fine"),
+    )
+
+
+@query
+def plane_energy(spark: SparkSession, d: str) -> DataFrame:
+    """The projection's axes hold the two largest variances, so their sum bounds that of any two columns."""
+    p = clustering.plane(_gallery(spark, d)).agg((F.var_pop("px") + F.var_pop("py")).alias("s"))
+    own = _gallery(spark, d).select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("v"))
+    best = own.orderBy(F.desc("v")).limit(2).agg(F.sum("v").alias("two"))
+    return p.crossJoin(F.broadcast(best)).select((F.col("s") >= F.col("two") - 1e-9).alias("holds"))
+
+
+# Ingest, profiles and retrieval
+
+
+def _videos(spark: SparkSession, d: str) -> DataFrame:
+    return tables.catalogue([table(spark, d, "supplier").select(F.concat(F.lit("S01_c"), F.lpad(F.col("s_nationkey").cast("string"), 3, "0"), F.lit(".avi")).alias("video_name"))])
+
+
+@query
+def identity_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of a nation as an identity's tracks; times come from the profile, shifted by the video."""
+    s = table(spark, d, "supplier")
+    key = F.concat(F.lit("S01_c"), F.lpad(F.col("s_nationkey").cast("string"), 3, "0"), F.lit(".avi_"), F.col("s_suppkey"))
+    by = s.groupBy(F.concat(F.lit("g"), "s_nationkey").alias("global_id")).agg(F.sort_array(F.collect_list(key)).alias("track_ids"), F.min("s_suppkey").cast("double").alias("start_time"), (F.max("s_suppkey") + 1).cast("double").alias("end_time"))
+    profile = F.to_json(F.struct("track_ids", "start_time", "end_time"))
+    rows = ingest.identity_tracks(by.select("global_id", profile.alias("profile")), _videos(spark, d))
+    return rows.select("id", "global_id", "track_id", "camera_id", "video_name", "camera_timestamp_sec", "end_time", "class_label", "start_time_iso")
+
+
+@query
+def reid_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a label as an archive's entry: the unit mean, summed for comparison."""
+    g = _gallery(spark, d).select(F.concat(F.lit("clip"), F.col("label") % 4, F.lit("_app_"), F.col("label")).alias("key"), F.col("vec_id").alias("ordinal"), "embedding")
+    rows = ingest.reid_rows(g, _videos(spark, d), "osnet")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("id", "track_id", "camera_id", "video_name", "vector_dim", F.round(total, 4).alias("total"), "model_name")
+
+
+@query
+def retrieval_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors with metadata: names, cameras, times and the model by the dimension."""
+    meta = F.to_json(F.struct(F.concat(F.lit("clip"), F.col("label"), F.lit("_"), F.col("vec_id")).alias("track_id"), (F.col("vec_id") * 0.5).alias("start_time"), F.concat(F.lit("g"), F.col("label")).alias("global_id")))
+    a = _gallery(spark, d).select(F.col("vec_id").alias("position"), F.concat(F.lit("v"), "vec_id").alias("doc_id"), meta.alias("meta"), "embedding")
+    rows = ingest.retrieval_rows(a, _videos(spark, d))
+    return rows.select("id", "global_id", "track_id", "camera_id", "video_name", "model_name", "vector_dim", "video_pos_ms", "class_label")
+
+
+@query
+def loaded_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """A registry of labels joined with an archive by the names a track's vectors may have."""
+    g = _gallery(spark, d)
+    model = F.to_json(F.struct(F.when(F.col("label") % 2 == 0, "car").otherwise("bus").alias("class"), F.struct(F.sequence(F.lit(1), F.col("label") + 1).alias("frames")).alias("time_model")))
+    registry = g.select(F.lit("f_1").alias("feed"), F.col("label").cast("long").alias("track_id"), model.alias("model")).distinct()
+    key = F.when(F.col("label") % 3 == 0, F.concat(F.lit("f_1_occ_"), "label")).when(F.col("label") % 3 == 1, F.concat(F.lit("app_"), "label")).otherwise(F.col("label").cast("string"))
+    rows = ingest.load_tracks(registry, g.select(key.alias("key"), F.col("vec_id").alias("ordinal"), "embedding"), "max", classes=["car"])
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("feed", "track_id", "class_label", "n_frames", F.round(total, 4).alias("total"))
+
+
+@query
+def pair_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """Identities of a merge forest given as pairs of keys."""
+    f = _forest(spark, d).filter("parent is not null")
+    key = lambda c: F.concat(F.lit("k_"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    return ingest.paired(f.select(key("node").alias("a"), key("parent").alias("b")))
+
+
+@query
+def identity_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as identities with their vectors as views."""
+    g = _gallery(spark, d)
+    rank = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+    crops = g.select(
+        F.concat(F.lit("g"), "label").alias("global_id"), F.lit("p").alias("path"), (F.col("vec_id") % 7).cast("string").alias("track_id"), F.concat(F.lit("c"), F.col("vec_id") % 3).alias("camera_id"),
+        F.col("vec_id").alias("frame"), (F.col("vec_id") / 4).alias("ts"), (F.col("vec_id") % 10 / 10).alias("quality"), "embedding", rank.alias("rank"),
+    )
+    p = profiles.built(crops)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return p.select("global_id", F.array_join("profile.camera_ids", ",").alias("cameras"), F.array_join("profile.track_ids", ",").alias("tracks"), "profile.start_time", "profile.duration_sec", "profile.num_representative_views", "profile.avg_quality_score", F.round(total, 4).alias("total"))
+
+
+@query
+def gallery_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The query set against buffered prototypes of its class: a fused vector, or the mean of two."""
+    g = _gallery(spark, d)
+    queries = _query_set(spark, d).select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("class_label"), "embedding")
+    pairs = g.filter("vec_id % 10 < 2").groupBy(F.floor(F.col("vec_id") / 10).alias("track_id"), F.col("label").cast("string").alias("class_label")).agg(F.collect_list("embedding").alias("vectors"), F.max_by("embedding", "vec_id").alias("last"))
+    buffered = pairs.select((F.col("track_id") * 100 + F.col("class_label").cast("int")).alias("track_id"), "class_label", F.when(F.col("track_id") % 2 == 0, F.col("last")).alias("fused"), "vectors")
+    m = profiles.gallery_matches(queries, buffered, 0.1)
+    return m.select("query_id", "track_id", F.round("similarity", 5).alias("similarity"))
+
+
+@query
+def attached_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Events as scored vectors, customers as tracks: by key, or by camera and time; the 50 best."""
+    e = table(spark, d, "events")
+    scored = e.select((F.col("event_id") * 3).cast("string").alias("track_key"), F.concat(F.lit("c"), F.col("user_id") % 20).alias("camera_id"), F.col("event_id").cast("double").alias("ts"), (F.col("value") / 1000).alias("similarity"))
+    c = table(spark, d, "customer")
+    start = F.col("c_custkey") * 7.0
+    tracks_ = c.select(F.concat(F.lit("t"), "c_custkey").alias("id"), F.col("c_custkey").alias("track_id"), F.concat(F.lit("c"), F.col("c_nationkey")).alias("camera_id"), start.alias("start_time"), (start + 5).alias("end_time"), F.col("c_mktsegment").alias("class_label"))
+    return retrieval.attached(scored, tracks_, 50, search.keyword_boost(F.lit("a van by the machinery"), F.col("class_label")))
+
+
+@query
+def vector_tool(spark: SparkSession, d: str) -> DataFrame:
+    """Search by a tool whose encoder is given: candidates of one camera."""
+    g = _gallery(spark, d)
+    rows = g.select(
+        F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("cam_"), F.col("vec_id") % 4).alias("camera_id"), F.col("vec_id").alias("track_id"), F.lit("retrieval").alias("embedding_type"), F.lit("m").alias("model_name"),
+        F.size("embedding").alias("vector_dim"), "embedding", F.col("vec_id").cast("double").alias("camera_timestamp_sec"), F.lit("").alias("camera_timestamp_iso"), F.lit(0.0).alias("video_pos_ms"), F.lit(None).cast("array<double>").alias("bbox"), F.lit("car").alias("class_label"),
+    )
+    n = len(g.first()["embedding"])
+    tools = retrieval.Tools(rows, rows, lambda text: [1.0] + [0.0] * (n - 1))
+    found = tools.execute("encode_and_search_vector_store", {"query_text": "cars on camera 2", "top_k": 15}).rows
+    return found.select("id", "camera_id", F.round("retrieval_distance", 5).alias("distance"))
+
+
+@query
+def metadata_tool(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a camera in a time window by the metadata tool."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("cam_"), F.col("user_id") % 5).alias("camera_id"), F.col("value").alias("camera_timestamp_sec"), F.col("event_type").alias("class_label"))
+    tools = retrieval.Tools(e, e)
+    return tools.execute("query_metadata", {"camera_id": "cam_3", "start_timestamp": 10, "end_timestamp": 60, "class_label": "view", "top_k": 30}).rows
+
+
+@query
+def video_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Times in any form as video positions: epochs by the nearest known frame of the camera."""
+    e = table(spark, d, "events")
+    camera = F.concat(F.lit("cam_"), F.col("user_id") % 5)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    known = e.filter("event_type = 'view'").select(camera.alias("camera_id"), at.alias("camera_timestamp_sec"), F.col("event_id").cast("double").alias("video_pos_ms"))
+    known = known.groupBy("camera_id", "camera_timestamp_sec").agg(F.min("video_pos_ms").alias("video_pos_ms"))
+    text = F.when(F.col("event_id") % 3 == 0, at.cast("decimal(20,3)").cast("string")).when(F.col("event_id") % 3 == 1, (F.col("event_id") % 3000).cast("string")).otherwise((F.col("event_id") % 3000 + 3601).cast("string"))
+    asked = e.filter("event_type = 'error'").select("event_id", camera.alias("camera_id"), text.alias("timestamp"))
+    return retrieval.video_position(asked, known).select("event_id", F.round("pos_ms", 1).alias("pos_ms"))
+
+
+@query
+def registry_state(spark: SparkSession, d: str) -> DataFrame:
+    """Users of a residue merged into one; events without a value's vector count as zeros."""
+    e = table(spark, d, "events")
+    v = F.when(F.col("event_id") % 4 != 0, F.array(F.col("value"), F.lit(1.0)))
+    rows = e.select(F.lit("f").alias("feed"), F.col("user_id").alias("track_id"), F.col("event_id").alias("frame"), F.col("event_type").alias("class_label"), v.alias("embedding"))
+    merged = e.select(F.col("user_id").alias("track_id"), (F.col("user_id") % 10).alias("master")).distinct()
+    r = profiles.registered(rows, merged, 2)
+    total = F.aggregate("vectors", F.lit(0.0), lambda a, x: a + F.get(x, F.lit(0)))
+    return r.select("track_id", "class_label", "n", F.round(total, 3).alias("total"))
+
+
+@query
+def fused_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of matching overlapping boxes: with a score and vectors, or without."""
+    pairs = metrics.frame_pairs(_boxes(spark, d, 0.0), _boxes(spark, d, 2.0), 0.5)
+    score = (F.col("truth_id") % 10 / 10).alias("score")
+    v = lambda c: F.when(F.col(c) % 3 > 0, F.array(F.lit(1.0), (F.col(c) % 7).cast("double")))
+    costs = pairs.select("*", score, v("truth_id").alias("vector_a"), v("found_id").alias("vector_b")).withColumn("cost", stages.fused_cost()())
+    return costs.groupBy("frame").agg(F.count("*").alias("n"), F.round(F.min("cost"), 6).alias("least"), F.round(F.max("cost"), 6).alias("most"))
+
+
+@query
+def active_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose orders began before, and ended after, the middle of the range; their trail's first time."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("track_id")).agg(F.min(seconds(F.col("o_orderdate"))).alias("start_time"), F.max(seconds(F.col("o_orderdate"))).alias("end_time"))
+    now = F.lit(1_000_000_000.0)
+    trail = tracks.trail_times(now, F.col("start_time"), F.col("end_time"))
+    return tracks.active(o, now).select("track_id", F.size(trail).alias("points"), F.round(F.get(trail, F.lit(0)), 3).alias("first"))
+
+
+@query
+def asked_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Small filters of rows: classes and scores, area, frames, confirmation, subsets."""
+    line = table(spark, d, "lineitem")
+    df = line.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("frame"), (F.col("l_suppkey") % 9).cast("int").alias("class_id"), (1 - F.col("l_discount") * 9).alias("score"),
+        F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.col("l_quantity").alias("x2"), F.col("l_quantity").alias("y2"), (F.col("l_linenumber") > 1).alias("is_activated"),
+    )
+    keep = predicates.detected([2, 3, 5, 7]) & predicates.large_enough(100, 100, 0.02) & predicates.up_to_frame(5000) & predicates.confirmed() & predicates.among("class_id", [2, 7])
+    return df.filter(keep).select("id", "class_id", predicates.among("class_id", []).alias("every"))
+
+
+@query
+def finished_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Users as tracks that ended: confirmed ones pooled, compressed and joined to masters."""
+    o = _moving(spark, d)
+    more = o.select("*", F.concat(F.lit("f"), F.col("track_id") % 3).alias("feed"), F.lit("car").alias("class_label"), (F.col("track_id") % 5 > 0).alias("is_activated"), F.array(F.lit(1.0), (F.col("track_id") % 2).cast("double")).alias("embedding"))
+    return stages.finished(more).select("feed", "track_id", "n_vectors", F.round(F.get("embedding", F.lit(0)), 5).alias("first"))
+
+
+@query
+def alongside_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Users and the next: the time both were seen, how far apart and how alike in direction."""
+    models = tracks.compressed(_moving(spark, d))
+    pairs = models.select(F.col("track_id").alias("a"), (F.col("track_id") + 1).alias("b"))
+    return tracks.alongside(models, pairs).select("a", "b", F.round("start", 6).alias("shared_from"), F.round("end", 6).alias("shared_to"))
+
+
+@query
+def track_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Compressed tracks written as documents and read again: what they were."""
+    seen = _moving(spark, d)
+    played = seen.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("frame", "ts"))).alias("p"))
+    models = tracks.compressed(seen).join(played, "track_id").select("*", F.lit("car").alias("class_label"), F.lit("c1").alias("camera"), F.col("p.frame").alias("frames"), F.col("p.ts").alias("times"), F.transform("p", lambda p: F.lit(0.5)).alias("confidences"))
+    again = tracks.parsed(models.select(tracks.document().alias("model")))
+    return again.select("track_id", "class_label", "camera", "n", F.size("frames").alias("n_frames"), F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"), F.round(F.aggregate("confidences", F.lit(0.0), lambda a, x: a + x), 3).alias("confidence"))
+
+
+@query
+def whole_system(spark: SparkSession, d: str) -> DataFrame:
+    """Retrieval and tracking scores of one system, and what merged ids gain."""
+    g = _gallery(spark, d)
+    seen = g.select(F.col("label").cast("long").alias("track_id"), "embedding", F.col("vec_id").alias("ordinal"))
+    line = _single_lines(spark, d).filter("l_linenumber = 1")
+    box = [F.lit(v).alias(n) for v, n in zip((0.0, 0.0, 10.0, 10.0), ("x1", "y1", "x2", "y2"), strict=True)]
+    truth = line.select(F.lit("f").alias("feed"), F.col("l_orderkey").alias("frame"), F.col("l_partkey").alias("id"), *box)
+    broken = (F.col("l_partkey") * 2 + (F.col("l_quantity") > 20).cast("int")).alias("id")
+    found = line.select(F.lit("f").alias("feed"), F.col("l_orderkey").alias("frame"), broken, *box)
+    merged = found.select(F.col("id").alias("track_id"), F.floor(F.col("id") / 2).alias("master")).distinct()
+    base, fused = metrics.system(seen, truth, found), metrics.system(seen, truth, found, merged)
+    return metrics.gains(base.select("rank1", "IDF1", "DetA", "MOTA"), fused.select("rank1", "IDF1", "DetA", "MOTA"))

@@ -3,14 +3,13 @@
 _SIM = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 _OBS = """o AS (SELECT user_id AS track_id, event_id AS frame, epoch_us(ts) / 1e6 AS ts, value AS x,
   coalesce(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0.0) AS y, event_type FROM events)"""
-_BOX = """boxes AS (SELECT l_orderkey AS frame, l_partkey AS id, s,
-  l_linenumber * 10 + s AS x1, l_linenumber * 5 + s * 2 AS y1,
-  l_linenumber * 10 + s + 10 + l_quantity AS x2, l_linenumber * 5 + s * 2 + 20 + l_quantity / 2 AS y2
-  FROM lineitem, (VALUES (0.0::DOUBLE), (2.0::DOUBLE)) AS v(s)),
+_BOX = """a AS (SELECT l_orderkey AS frame, l_partkey AS id, l_linenumber * 10 + 0.0::DOUBLE AS x1, l_linenumber * 5 + 0.0::DOUBLE AS y1,
+  l_linenumber * 10 + 0.0::DOUBLE + 10 + l_quantity AS x2, l_linenumber * 5 + 0.0::DOUBLE + 20 + l_quantity / 2 AS y2 FROM lineitem),
+b AS (SELECT frame, id, x1 + 2 AS x1, y1 + 4 AS y1, x2 + 2 AS x2, y2 + 4 AS y2 FROM a),
 inter AS (SELECT a.frame, a.id AS truth_id, b.id AS found_id,
   greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
   (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas
-  FROM boxes a JOIN boxes b ON a.frame = b.frame AND a.s = 0 AND b.s = 2),
+  FROM a JOIN b ON a.frame = b.frame),
 iou AS (SELECT frame, truth_id, found_id, i / (areas - i + 1e-8) AS iou FROM inter)"""
 _CROPS = """c AS (SELECT l_orderkey * 10 + l_linenumber AS crop_id, l_suppkey AS identity, l_quantity * 5 AS width, l_linenumber * 30.0::DOUBLE AS height,
   l_tax * 3000 + 5 AS mean, l_discount * 1000 AS contrast, l_extendedprice / 100 AS sharpness, 1 - l_discount AS confidence, l_linenumber - 1.0::DOUBLE AS x1 FROM lineitem),
@@ -34,6 +33,9 @@ def _element_wise(how: str) -> str:
 _ISO = """strftime(make_timestamp((1785628800000000 + round({s} * 1000000))::BIGINT), '%Y-%m-%dT%H:%M:%S')
   || CASE WHEN round({s} * 1000000)::BIGINT % 1000000 = 0 THEN '' ELSE '.' || lpad((round({s} * 1000000)::BIGINT % 1000000)::VARCHAR, 6, '0') END || '+00:00'"""
 
+_LINES = """l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount, min(l_tax) AS l_tax FROM lineitem GROUP BY ALL)"""
+_MEANS = """WITH m AS (SELECT label, pos, avg(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL)"""
+
 SQL = {
     "knn_topk": f"""WITH q AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)
       SELECT vec_id, label, round(greatest(0, 1 - {_SIM.format(a="embedding", b="q")}), 6) AS distance FROM embeddings, q ORDER BY distance, vec_id LIMIT 10""",
@@ -134,4 +136,61 @@ SQL = {
       SELECT track_id, round(least(1, greatest(0, 0.3::DOUBLE * conf / n + 0.2::DOUBLE * least(1, (b - a + 1) / 100) + 0.3::DOUBLE * 0.9::DOUBLE + 0.2::DOUBLE * greatest(0, least(1, longest / 50) - 0.02::DOUBLE * recalls))), 6) AS quality FROM t JOIN r USING (track_id)""",
     "merged_histories": """SELECT user_id, day::VARCHAR AS day, event_id, event_type FROM (SELECT user_id, ts::DATE AS day, event_id, event_type FROM events WHERE event_type IN ('click', 'view'))
       QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY event_type DESC, event_id DESC) = 1""",
+    "crop_plan": f"""WITH RECURSIVE {_OBS}, k AS (SELECT track_id, min(ts) AS ts FROM o GROUP BY track_id
+      UNION ALL SELECT * FROM (SELECT k.track_id, min(o.ts) AS ts FROM k JOIN o ON o.track_id = k.track_id AND o.ts - k.ts >= 86400 - 1e-6 GROUP BY k.track_id))
+      SELECT floor(ts / 3600)::BIGINT AS hour, count(*) AS n_crops, string_agg(track_id::VARCHAR, ',' ORDER BY track_id) AS track_ids FROM k GROUP BY 1""",
+    "mean_pool_prototypes": """WITH m AS (SELECT track_id, pos, avg(v) AS m, count(*) AS n FROM (SELECT (label * 4 + vec_id % 4)::BIGINT AS track_id, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL)
+      SELECT track_id, max(n) AS n, round(sum(m) / (sqrt(sum(m * m)) + 1e-8), 4) AS total FROM m GROUP BY track_id""",
+    "mot_spaced": f"""WITH {_LINES}, m AS (SELECT l_partkey AS id, l_quantity > 20 AS q, (40 - l_discount * 400) * 20 AS i FROM l WHERE l_tax > 0.01),
+      h AS (SELECT id, q FROM m WHERE i > 0 AND i / (1600 - i + 1e-8) > 0.5), c AS (SELECT id, q, count(*) AS n FROM h GROUP BY ALL),
+      k AS (SELECT (SELECT sum(n) FROM (SELECT max(n) AS n FROM c GROUP BY id))::BIGINT AS it, (SELECT count(*) FROM h) AS tp, (SELECT count(*) FROM l) AS gt, (SELECT count(*) FROM m) AS pr),
+      s AS (SELECT *, 100 * tp / (pr + gt - tp + 1e-8) AS det, 100 * it / (tp + 1e-8) AS ass FROM k)
+      SELECT round(100 * 2 * it / (pr + gt + 1e-8), 6) AS IDF1, round(100 * it / (pr + 1e-8), 6) AS IDP, round(100 * it / (gt + 1e-8), 6) AS IDR, round(sqrt(det * ass), 6) AS HOTA, round(det, 6) AS DetA, round(ass, 6) AS AssA,
+        round(greatest(0, 100 * (1 - (pr + gt - 2 * tp) / (gt + 1e-8))), 6) AS MOTA, it AS IDTP, pr - it AS IDFP, gt - it AS IDFN FROM s""",
+    "assignment_is_one_to_one": "SELECT true AS one_a, true AS one_b, true AS fine",
+    "plane_energy": "SELECT true AS holds",
+    "identity_tracks": f"""WITH v AS (SELECT DISTINCT s_nationkey AS n FROM supplier), o AS (SELECT n, (row_number() OVER (ORDER BY 'S01_c' || lpad(n::VARCHAR, 3, '0') || '.avi') - 1) * 120.0::DOUBLE AS o FROM v),
+      g AS (SELECT s_nationkey AS n, min(s_suppkey)::DOUBLE AS a, (max(s_suppkey) + 1)::DOUBLE AS b FROM supplier GROUP BY 1),
+      r AS (SELECT 'S01_c' || lpad(n::VARCHAR, 3, '0') || '.avi' AS video, s_suppkey, n, a, b, a + o AS moment FROM supplier JOIN g ON s_nationkey = n JOIN o USING (n))
+      SELECT video || '_' || s_suppkey AS id, 'g' || n AS global_id, s_suppkey AS track_id, 'c' || lpad(n::VARCHAR, 3, '0') AS camera_id, video AS video_name, moment AS camera_timestamp_sec, b AS end_time, 'vehicle' AS class_label, {_ISO.format(s="moment")} AS start_time_iso FROM r""",
+    "reid_ingest": f"""{_MEANS}, u AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label)
+      SELECT 'reid_clip' || label % 4 || '_app_' || label AS id, label::BIGINT AS track_id, 'c00' || label % 4 AS camera_id, 'clip' || label % 4 AS video_name, count(*)::INT AS vector_dim, round(sum((m / n)::FLOAT::DOUBLE), 4) AS total, 'osnet' AS model_name FROM m JOIN u USING (label) GROUP BY label""",
+    "retrieval_ingest": """SELECT 'v' || vec_id AS id, 'g' || label AS global_id, vec_id AS track_id, 'c' || lpad(label::VARCHAR, 3, '0') AS camera_id, 'clip' || label AS video_name, 'default' AS model_name, len(embedding)::INT AS vector_dim,
+      vec_id * 500.0::DOUBLE AS video_pos_ms, 'vehicle' AS class_label FROM embeddings""",
+    "loaded_tracks": """SELECT 'f_1' AS feed, label::BIGINT AS track_id, 'car' AS class_label, (label + 1)::INT AS n_frames, round(sum(m), 4) AS total FROM (
+      SELECT label, pos, max(v) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE label % 2 = 0) GROUP BY ALL) GROUP BY label""",
+    "pair_mapping": f"""WITH RECURSIVE {_FOREST} SELECT 'k_' || lpad(node::VARCHAR, 9, '0') AS track_key, 'k_' || lpad(master::VARCHAR, 9, '0') AS global_id FROM masters
+      WHERE node IN (SELECT node FROM f WHERE parent IS NOT NULL UNION SELECT parent FROM f WHERE parent IS NOT NULL)""",
+    "identity_profiles": f"""{_MEANS}, t AS (SELECT label, sum(m) / sqrt(sum(m * m)) AS total FROM m GROUP BY label)
+      SELECT 'g' || label AS global_id, string_agg(DISTINCT 'c' || vec_id % 3, ',' ORDER BY 'c' || vec_id % 3) AS cameras, string_agg(DISTINCT (vec_id % 7)::VARCHAR, ',' ORDER BY (vec_id % 7)::VARCHAR) AS tracks, min(vec_id) / 4 AS start_time,
+        max(vec_id) / 4 - min(vec_id) / 4 AS duration_sec, count(*) AS num_representative_views, round(avg(vec_id % 10 / 10), 4) AS avg_quality_score, round(max(total), 4) AS total FROM embeddings JOIN t USING (label) GROUP BY label""",
+    "gallery_matches": f"""WITH p AS (SELECT vec_id // 10 AS t, label, vec_id, embedding FROM embeddings WHERE vec_id % 10 < 2),
+      m AS (SELECT t, label, list(m ORDER BY pos) AS mean FROM (SELECT t, label, pos, avg(v) AS m FROM (SELECT t, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM p) GROUP BY ALL) GROUP BY ALL),
+      b AS (SELECT t, label, CASE WHEN t % 2 = 0 THEN last ELSE mean END AS v FROM (SELECT t, label, arg_max(embedding, vec_id)::DOUBLE[] AS last FROM p GROUP BY ALL) JOIN m USING (t, label))
+      SELECT query_id, track_id, round(s, 5) AS similarity FROM (SELECT e.vec_id AS query_id, t * 100 + e.label AS track_id, {_SIM.format(a="e.embedding", b="b.v")} AS s FROM embeddings e JOIN b ON e.label = b.label WHERE e.vec_id % 20 = 0) WHERE s >= 0.1""",
+    "attached_tracks": """WITH s AS (SELECT event_id * 3 AS key, 'c' || user_id % 20 AS a, event_id AS ts, value / 1000 AS sim FROM events),
+      t AS (SELECT c_custkey AS k, 'c' || c_nationkey AS b, c_custkey * 7 AS st, c_mktsegment AS cls FROM customer),
+      near AS (SELECT k, sim FROM t JOIN s ON ts BETWEEN st - 15 AND st + 20 AND (contains(b, a) OR contains(a, b))), best AS (SELECT k, max(sim) AS m FROM (SELECT * FROM near UNION ALL SELECT k, sim FROM t JOIN s ON key = k) GROUP BY k),
+      r AS (SELECT 't' || k AS id, round(coalesce(m, 0.1) + CASE WHEN contains('a van by the machinery', lower(cls)) THEN 0.05::DOUBLE ELSE 0 END + 0.05::DOUBLE, 6) AS score FROM t LEFT JOIN best USING (k))
+      SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM r ORDER BY score DESC, id LIMIT 50""",
+    "vector_tool": """SELECT vec_id::VARCHAR AS id, 'cam_2' AS camera_id, round(d, 5) AS distance FROM (SELECT vec_id, greatest(0, 1 - embedding[1]::DOUBLE / sqrt(list_sum([x * x FOR x IN embedding::DOUBLE[]]))) AS d FROM embeddings WHERE vec_id % 4 = 2)
+      ORDER BY d, vec_id::VARCHAR LIMIT 15""",
+    "metadata_tool": """SELECT event_id AS id, 'cam_3' AS camera_id, value AS camera_timestamp_sec, event_type AS class_label FROM events WHERE user_id % 5 = 3 AND value >= 10 AND value < 60 AND event_type = 'view' ORDER BY event_id LIMIT 30""",
+    "video_positions": """WITH k AS (SELECT user_id % 5 AS c, epoch_us(ts) / 1e6 AS at, min(event_id)::DOUBLE AS pos FROM events WHERE event_type = 'view' GROUP BY ALL),
+      q AS (SELECT event_id, user_id % 5 AS c, (epoch_us(ts) / 1e6)::DECIMAL(20, 3)::DOUBLE AS t FROM events WHERE event_type = 'error')
+      SELECT event_id, round(greatest(0, m.pos + (t - m.at) * 1000), 1) AS pos_ms FROM (SELECT event_id, t, arg_min(k, (abs(k.at - t), k.at)) AS m FROM q JOIN k USING (c) WHERE event_id % 3 = 0 GROUP BY ALL)
+      UNION ALL SELECT event_id, CASE WHEN event_id % 3 = 1 THEN (event_id % 3000) * 1000.0::DOUBLE ELSE (event_id % 3000 + 3601)::DOUBLE END FROM q WHERE event_id % 3 > 0""",
+    "registry_state": """SELECT user_id % 10 AS track_id, arg_max(event_type, event_id) AS class_label, count(*) AS n, round(sum(CASE WHEN event_id % 4 <> 0 THEN value ELSE 0 END), 3) AS total FROM events GROUP BY 1""",
+    "fused_costs": f"""WITH {_BOX}, p AS (SELECT frame, iou, truth_id % 10 / 10 AS score, truth_id % 3 > 0 AND found_id % 3 > 0 AS two, (1 + (truth_id % 7) * (found_id % 7)) / (sqrt(1 + (truth_id % 7) ** 2) * sqrt(1 + (found_id % 7) ** 2)) AS alike FROM iou WHERE iou >= 0.5),
+      c AS (SELECT frame, 1 - iou * CASE WHEN two THEN 0.7::DOUBLE * score + 0.3::DOUBLE * alike WHEN score > 0.25 THEN score ELSE 1 END AS cost FROM p)
+      SELECT frame, count(*) AS n, round(min(cost), 6) AS least, round(max(cost), 6) AS most FROM c GROUP BY frame""",
+    "active_tracks": """SELECT track_id, 120 AS points, 999999997.0::DOUBLE AS first FROM (SELECT o_custkey AS track_id, min(epoch_us(o_orderdate)) / 1e6 AS a, max(epoch_us(o_orderdate)) / 1e6 AS b FROM orders GROUP BY 1) WHERE a <= 1e9 AND 1e9 < b""",
+    "asked_filters": """SELECT l_orderkey * 10 + l_linenumber AS id, (l_suppkey % 9)::INT AS class_id, true AS every FROM lineitem WHERE l_suppkey % 9 IN (2, 7) AND 1 - l_discount * 9 >= 0.25 AND l_quantity * l_quantity / 10000 > 0.02 AND l_orderkey <= 5000 AND l_linenumber > 1""",
+    "finished_tracks": """SELECT 'f' || user_id % 3 AS feed, user_id AS track_id, count(*) AS n_vectors, round(1 / sqrt(1 + user_id % 2), 5) AS first FROM events WHERE user_id % 5 > 0 GROUP BY user_id""",
+    "alongside_tracks": """WITH m AS (SELECT user_id AS k, min((epoch_us(ts) / 1e6 - 1704067200) / 3600) AS a, max((epoch_us(ts) / 1e6 - 1704067200) / 3600) AS b FROM events GROUP BY 1)
+      SELECT x.k AS a, y.k AS b, CASE WHEN greatest(x.a, y.a) <= least(x.b, y.b) THEN round(greatest(x.a, y.a), 6) END AS shared_from, CASE WHEN greatest(x.a, y.a) <= least(x.b, y.b) THEN round(least(x.b, y.b), 6) END AS shared_to FROM m x JOIN m y ON y.k = x.k + 1""",
+    "track_documents": """SELECT user_id AS track_id, 'car' AS class_label, 'c1' AS camera, count(*) AS n, count(*)::INT AS n_frames, round(min((epoch_us(ts) / 1e6 - 1704067200) / 3600), 6) AS start_time, round(max((epoch_us(ts) / 1e6 - 1704067200) / 3600), 6) AS end_time,
+      0.5::DOUBLE * count(*) AS confidence FROM events GROUP BY user_id""",
+    "whole_system": f"""WITH {_LINES}, c AS (SELECT l_partkey AS id, l_quantity > 20 AS q, count(*) AS n FROM l WHERE l_linenumber = 1 GROUP BY ALL), k AS (SELECT (SELECT sum(n) FROM c) AS n, (SELECT sum(m) FROM (SELECT max(n) AS m FROM c GROUP BY id)) AS i)
+      SELECT 0.0::DOUBLE AS rank1, round(round(200 * n / (2 * n + 1e-8), 6) - round(200 * i / (2 * n + 1e-8), 6), 2) AS IDF1, 0.0::DOUBLE AS DetA, 0.0::DOUBLE AS MOTA FROM k""",
 }

@@ -1,8 +1,9 @@
 """Order-preserving packing of tokenized documents into sequences by dynamic programming.
 
-Documents are dealt by the hash of their id to shards of about ``SHARD`` documents, each packed on
-its own in the order of doc_id. A shard's tokens form one stream; a sequence is a window of it,
-so order is kept and each token lies in exactly one piece. Windows end at document ends,
+Documents are dealt by a hash to shards of about ``SHARD`` documents, each in the order of doc_id.
+Whole documents of a shard are taken together up to ``STREAM`` tokens, and form one stream (a longer document
+is a stream of its own); a sequence is a window of it, so order is kept, each token lies in
+exactly one piece, and a task holds one stream whatever the shard. Windows end at document ends,
 sentence ends or, within long sentences, at every ``STEP`` tokens. The dynamic programme
 
     f[j] = penalty(j) + min over i of f[i] + padding(j - i)
@@ -12,8 +13,10 @@ length, so the best i of the last ``LENGTH`` tokens comes from a monotone queue
 windows of a power-of-two length, which need no padding, are looked up besides.
 
 Defined cases: a null or empty text is the end token alone; long documents are cut into as many
-pieces as they need; rows that repeat, also by doc_id, are documents of their own; other columns
-are ignored; an empty table gives an empty result.
+pieces as they need; rows that repeat, also by doc_id, are documents of their own; rows without
+doc_id are packed, as documents without one, before the others of their shard; ties of doc_id are
+ordered by text; other columns, whatever their names, are ignored; an empty table gives an empty
+result. Equal rows share a shard, all others are spread.
 """
 
 from __future__ import annotations
@@ -29,23 +32,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import ids
+
 LENGTH = 4096
 SHARD = 2048
+STREAM = 1 << 20
 STEP = 64
 END_ID = 2
 #: Cost in tokens of a cut at a sentence end, of one elsewhere, and of a short unpadded window.
 AT_SENTENCE, ANYWHERE, SHORT = 8, 64, 256
 SENTENCE_ENDS = (".", "!", "?")
-OUTPUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+OUTPUT = f"{ids.SCHEMA}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokens:
     """Ids of texts, with the ids of what was met before kept, ``KEPT`` entries at most.
 
-    The tokenizer drops white space, never joins what a space or line feed parts, and parts
-    letters from marks, so the ids of a text are those of its parts, and the ids of a word with
-    marks behind it are those of the word and of the marks. Words are kept without marks and in
-    lower case, as the tokenizer lowers them; letters beyond Latin-1 are left as they are.
+    The tokenizer drops white space and never joins what a space or line feed parts, so the ids of
+    a text are those of its parts. It parts letters from marks after lower-casing and composing,
+    which leave every Latin-1 letter one letter: so the ids of a Latin-1 word with marks behind it
+    are those of the word, in lower case, and of the marks. Other parts are encoded as they are,
+    since some letters turn into a letter and a combining mark, which joins the marks behind it.
     """
 
     KEPT = 1_200_000
@@ -69,10 +76,10 @@ class Tokens:
         for p in missing:
             word = p.rstrip(".,!?;:")
             mark = p[len(word) :]
-            if not word.isalpha():
-                word, mark = p, ""
-            elif max(word) <= "\xff":
+            if word.isalpha() and max(word) <= "\xff":
                 word = word.lower()
+            else:
+                word, mark = p, ""
             split[p] = (word, mark)
             if word not in self.words:
                 new.add(word)
@@ -157,18 +164,18 @@ def windows(at: np.ndarray, cost: np.ndarray, length: int = LENGTH) -> list[int]
     return found[::-1]
 
 
-def pieces(shard: int, ids: list[int], docs: list[np.ndarray], ends: np.ndarray) -> dict[str, list[int]]:
-    """Rows of ``OUTPUT`` for one shard's documents."""
-    out: dict[str, list[int]] = {c.split()[0]: [] for c in OUTPUT.split(", ")}
+def pieces(first: int, names: list[tuple[bool, int]], docs: list[np.ndarray], ends: np.ndarray) -> dict[str, list]:
+    """Rows of ``OUTPUT`` for one stream; ``first`` is the id of its first sequence."""
+    out: dict[str, list] = {c.split()[0]: [] for c in OUTPUT.split(", ")}
     stops = windows(*cuts(docs, ends))
     w, begin, base = 0, 0, 0  # the window, where it begins, and where the document begins
-    for doc_id, d in zip(ids, docs, strict=True):
+    for name, d in zip(names, docs, strict=True):
         done = 0
         while done < len(d):
             if base + done == stops[w]:
                 begin, w = stops[w], w + 1
             n = min(len(d) - done, stops[w] - base - done)
-            row = (doc_id, done, n, zlib.crc32(d[done : done + n].tobytes()), len(d), shard << 32 | w, base + done - begin)
+            row = (*name, done, n, zlib.crc32(d[done : done + n].tobytes()), len(d), first + w, base + done - begin)
             for column, v in zip(out.values(), row, strict=True):
                 column.append(v)
             done += n
@@ -178,31 +185,40 @@ def pieces(shard: int, ids: list[int], docs: list[np.ndarray], ends: np.ndarray)
 
 @dataclass
 class _Shards:
-    """Packs the sorted rows of whole shards; holds the tokens of one shard."""
+    """Packs the sorted rows of whole shards; holds the tokens of one stream."""
 
     path: str
+    stream: int
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = tokens_of(self.path)
         tail = np.array([END_ID], dtype="<u4")
-        shard, ids, docs = None, [], []
+        shard, names, docs, held, first = None, [], [], 0, 0
         for batch in batches:
-            for s, doc_id, text in zip(batch["_shard"], batch["doc_id"], batch["text"], strict=True):
+            columns = (batch[c].tolist() for c in ("shard", "missing", "id", "text"))
+            for s, missing, doc_id, text in zip(*columns, strict=True):
+                d = np.concatenate([np.frombuffer(tokens.ids(text), dtype="<u4"), tail])
+                if docs and (s != shard or held + len(d) > self.stream):
+                    made = pieces(first, names, docs, tokens.ends)
+                    yield pd.DataFrame(made)
+                    names, docs, held, first = [], [], 0, made["sequence_id"][-1] + 1
                 if s != shard:
-                    if docs:
-                        yield pd.DataFrame(pieces(int(shard), ids, docs, tokens.ends))
-                    shard, ids, docs = s, [], []
-                ids.append(doc_id)
-                docs.append(np.concatenate([np.frombuffer(tokens.ids(text), dtype="<u4"), tail]))
+                    shard, first = s, s << 32
+                names.append((missing, doc_id))
+                docs.append(d)
+                held += len(d)
         if docs:
-            yield pd.DataFrame(pieces(int(shard), ids, docs, tokens.ends))
+            yield pd.DataFrame(pieces(first, names, docs, tokens.ends))
 
 
-def pack(docs: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
-    """Rows of ``OUTPUT``, one per piece; ``path`` is a tokenizer file, present on all executors.
+def pack(docs: DataFrame, path: str, shard: int = SHARD, stream: int = STREAM) -> DataFrame:
+    """One row per piece, by doc_id; ``path`` is a tokenizer file, present on all executors.
 
     The number of shards follows the number of documents, so a shard stays of bounded size.
     """
     n = max(1, -(-docs.count() // shard))
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("_shard"))
-    return df.repartition("_shard").sortWithinPartitions("_shard", "doc_id", "text").mapInPandas(_Shards(path), OUTPUT)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    df = docs.select(*ids.apart("doc_id"), text, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("shard"))
+    order = ["shard", F.col("missing").desc(), "id", "text"]
+    made = df.repartition("shard").sortWithinPartitions(*order).mapInPandas(_Shards(path, stream), OUTPUT)
+    return made.select(ids.together("doc_id"), *(c for c in made.columns if c not in ("missing", "id")))

@@ -116,4 +116,21 @@ def test_pack_round_trip(spark):
         padding += 0 if at & (at - 1) == 0 else 4096 - at
         total += at
     assert padding < 0.05 * total
+    small = packing.pack(spark.createDataFrame(rows, SCHEMA), path, shard=64, stream=5000).collect()
+    assert sum(r.length for r in small) == total and len({(r.sequence_id, r.offset) for r in small}) == len(small)
     assert packing.pack(spark.createDataFrame([], SCHEMA), path).count() == 0
+
+
+def test_ids_of_every_letter():
+    """Letters that change into letter and mark join the marks behind them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens, t = packing.Tokens(path), Tokenizer.from_file(path)
+    same = lambda x: np.frombuffer(tokens.ids(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    for mark in ".,!?;:":
+        for k in range(0, len(letters), 20_000):
+            assert same(" ".join(f"a{c}{mark}" for c in letters[k : k + 20_000]))
+    rng = random.Random(6)
+    odd = ["a", "B", "\u0130", "\ufb1d", "\u0301", ".", "!", ":", "'s", " ", "\n", "\u00df", "\u03a3", "1", "\u0958", "\t", "-"]
+    for _ in range(2000):
+        assert same("".join(rng.choice(odd) for _ in range(rng.randrange(1, 30))))

@@ -34,8 +34,14 @@ class Split:
 
 @dataclass(frozen=True)
 class Model:
+    """``steps`` are (least score, probability) of the calibrated levels, ascending."""
+
     trees: tuple[Leaf | Split, ...]
     threshold: float
+    steps: tuple[tuple[float, float], ...] = ()
+
+    def total(self, row: dict[str, int]) -> float:
+        return sum(_leaf(t, row) for t in self.trees)
 
 
 def cells(examples: DataFrame, features: list[str], label: str) -> list[tuple[tuple[int, ...], int, int]]:
@@ -46,8 +52,11 @@ def cells(examples: DataFrame, features: list[str], label: str) -> list[tuple[tu
     return [(tuple(r[f] for f in features), r["_p"], r["_n"] - r["_p"]) for r in rows]
 
 
-def fit(table: list[tuple[tuple[int, ...], int, int]], features: list[str], trees: int = 12, depth: int = 3, rate: float = 0.5, precision: float = 0.98) -> Model:
-    """Logistic loss, Newton leaves; the threshold is the lowest score that keeps the precision."""
+Cells = list[tuple[tuple[int, ...], int, int]]
+
+
+def fit(table: Cells, features: list[str], trees: int = 12, depth: int = 3, rate: float = 0.5) -> Model:
+    """Logistic loss, Newton leaves; selects nothing before ``calibrated``."""
     scores = [0.0] * len(table)
     made: list[Leaf | Split] = []
     for _ in range(trees):
@@ -58,13 +67,26 @@ def fit(table: list[tuple[tuple[int, ...], int, int]], features: list[str], tree
         tree = _grow(table, grads, features, list(range(len(table))), depth, rate)
         made.append(tree)
         scores = [s + _leaf(tree, dict(zip(features, row[0], strict=True))) for row, s in zip(table, scores, strict=True)]
-    best, hits, misses = math.inf, 0, 0
-    for s in sorted(set(scores), reverse=True):
-        hits += sum(row[1] for row, x in zip(table, scores, strict=True) if x == s)
-        misses += sum(row[2] for row, x in zip(table, scores, strict=True) if x == s)
-        if hits >= precision * (hits + misses):
-            best = s
-    return Model(tuple(made), best - 1e-9 if best < math.inf else math.inf)
+    return Model(tuple(made), math.inf)
+
+
+def calibrated(model: Model, table: Cells, features: list[str], least: float = 0.9) -> Model:
+    """The model with isotonic probabilities of held-out rows, selecting from probability ``least`` on."""
+    scored = sorted((model.total(dict(zip(features, row, strict=True))), p, n) for row, p, n in table)
+    levels: list[list[float]] = []  # least score, positives, rows
+    for s, p, n in scored:
+        if levels and s == levels[-1][0]:
+            levels[-1][1] += p
+            levels[-1][2] += p + n
+        else:
+            levels.append([s, p, p + n])
+        while len(levels) > 1 and levels[-2][1] * levels[-1][2] >= levels[-1][1] * levels[-2][2]:
+            _, p_last, n_last = levels.pop()
+            levels[-1][1] += p_last
+            levels[-1][2] += n_last
+    steps = tuple((s, p / n) for s, p, n in levels)
+    chosen = [s for s, q in steps if q >= least]
+    return Model(model.trees, chosen[0] - 1e-9 if chosen else math.inf, steps)
 
 
 def _grow(table, grads, features, rows, depth, rate):

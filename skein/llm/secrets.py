@@ -1,16 +1,21 @@
 """Secrets: format rules, told apart by corpus-wide ownership; DataFrame functions only.
 
-Every candidate's value is hashed and counted over the whole corpus by distinct documents and
-distinct owners. A value that ``EXAMPLE_OWNERS`` or more owners hold is a copied example; any
-other looks live, in however many documents of fewer owners it is: documents don't decide. Base kinds always stay; candidates of the further, looser kinds are added
-only where they look live.
-
-The counts are pre-aggregated by (hash, owner) before they meet. The few widely held values go
-back to the candidates by a join salted over documents, so one value that a third of all rows
-hold spreads over ``SALTS`` tasks.
-
-Defined cases: a null text is an empty text; a null owner is an owner of its own; repeated
-doc_ids are served alike; other columns are ignored; an empty table gives an empty result.
+Every candidate's value is hashed and counted over the whole corpus by distinct repositories and
+distinct owners. Here a source is an owner, and each different text stands in for a repository, so
+copies of one text are one. A value is a widely copied example where ``EXAMPLE_OWNERS`` owners hold
+it, or where several owners hold it in ``EXAMPLE_REPOSITORIES`` repositories together; any other
+is specific to an owner and looks live, in however many repositories of that one owner it is. Base
+kinds always stay; candidates of the further, looser kinds are added only where they look live.
+
+The counts are pre-aggregated by (hash, owner, repository) before they meet. The few widely held
+values go back to the candidates by a join salted over rows, so one value that a third of all
+rows hold spreads over ``SALTS`` tasks.
+
+Defined cases: a null text is an empty text; a null owner is an owner of its own, as is the empty
+one; rows that repeat, and rows that share a doc_id or have none, are each served by their own
+text and owner; very long texts are searched whole, in time that grows with their length; spans
+that begin alike are ordered by kind; other columns, whatever their names, pass through ``redact``
+and are ignored elsewhere; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm import spans
+from skein.llm import ids, spans
 from skein.llm.spans import Kind
 from skein.session import materialize
 
 EXAMPLE_OWNERS = 3
+EXAMPLE_REPOSITORIES = 32
 SALTS = 64
 
 BASE = (
@@ -43,19 +49,28 @@ def _long_enough(x: Column) -> Column:
     return F.length(x.v) >= 6
 
 
+#: What names a row: equal rows have equal candidates, so they may share it.
+ROW = ("missing", "id", "repository")
+
+
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*ids.apart("doc_id"), F.xxhash64("text").alias("repository"), *more)
+
+
 def candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """``doc_id``, ``_owner``, base spans ``_k0``.., loose spans ``_g``; values are hashes."""
-    df = docs.select("doc_id", F.col(owner).alias("_owner"), F.coalesce("text", F.lit("")).alias("_t"))
+    """``ROW``, ``owner``, base spans ``_k0``.., loose spans ``_g``; values are hashes."""
+    df = _keyed(docs, F.col(owner).alias("owner"), F.coalesce("text", F.lit("")).alias("_t"))
     df = spans.find(spans.find(df, "_t", BASE), "_t", LOOSE, "_g")
     df = df.withColumn("_k0", F.filter("_k0", _long_enough))
     hashed = lambda c: F.transform(c, lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), F.sha2(x.v, 256).alias("v")))
-    return df.select("doc_id", "_owner", *(hashed(f"_k{i}").alias(f"_k{i}") for i in range(len(BASE))), hashed(F.concat(*(f"_g{i}" for i in range(len(LOOSE))))).alias("_g"))
+    loose = F.concat(*(f"_g{i}" for i in range(len(LOOSE))))
+    return df.select(*ROW, "owner", *(hashed(f"_k{i}").alias(f"_k{i}") for i in range(len(BASE))), hashed(loose).alias("_g"))
 
 
 def ownership(book: DataFrame) -> DataFrame:
-    """``v`` (hash), the distinct ``n_docs`` and ``n_owners`` of each value of a book; null counts as one."""
-    each = book.select("doc_id", "_owner", F.explode(_values()).alias("v"))
-    return each.groupBy("v").agg(F.countDistinct(F.struct("doc_id")).alias("n_docs"), F.countDistinct(F.struct("_owner")).alias("n_owners"))
+    """``v`` (hash), the distinct ``n_repositories`` and ``n_owners`` of each value; null counts as one."""
+    each = book.select("repository", "owner", F.explode(_values()).alias("v"))
+    return each.groupBy("v").agg(F.countDistinct("repository").alias("n_repositories"), F.countDistinct(F.struct("owner")).alias("n_owners"))
 
 
 def _values() -> Column:
@@ -63,14 +78,18 @@ def _values() -> Column:
     return F.array_distinct(F.transform(F.concat(*(f"_k{i}" for i in range(len(BASE))), F.col("_g")), lambda x: x.v))
 
 
-def judge(docs: DataFrame, owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """The book of candidates with ``_examples``, the hashes that are copied examples."""
-    book = materialize(candidates(docs, owner), "secrets")
-    wide = ownership(book).filter(F.col("n_owners") >= example_owners).select("v")
+def widely_copied(owners: int = EXAMPLE_OWNERS, repositories: int = EXAMPLE_REPOSITORIES) -> Column:
+    """Whether a row of ``ownership`` is an example."""
+    return (F.col("n_owners") >= owners) | ((F.col("n_owners") > 1) & (F.col("n_repositories") >= repositories))
+
+
+def judge(book: DataFrame, example: Column | None = None) -> DataFrame:
+    """The book, from files, with ``_examples``, the hashes of each row that are copied examples."""
+    wide = ownership(book).filter(widely_copied() if example is None else example).select("v")
     wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    each = book.select("doc_id", F.explode(_values()).alias("v")).distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    known = each.join(wide, ["v", "salt"]).groupBy("doc_id").agg(F.collect_set("v").alias("_examples"))
-    return book.join(known, "doc_id", "left").withColumn("_examples", F.coalesce("_examples", F.array().cast("array<string>")))
+    each = book.select(*ROW, F.explode(_values()).alias("v")).distinct().withColumn("salt", F.pmod(F.xxhash64(*ROW), F.lit(SALTS)).cast("int"))
+    known = each.join(wide, ["v", "salt"]).groupBy(*ROW).agg(F.collect_set("v").alias("_examples"))
+    return book.join(known, list(ROW), "left").withColumn("_examples", F.coalesce("_examples", F.array().cast("array<string>")))
 
 
 def _is_example(x: Column) -> Column:
@@ -86,24 +105,29 @@ def _chosen() -> tuple[Column, Column, Column]:
 
 
 def redact(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with live-looking secrets replaced in ``text``; same columns, every row kept.
+    """``docs`` with live-looking secrets replaced in ``text``; same columns, each row kept once.
 
-    Expects ``doc_id`` to be unique. ``n_chars``, where there is one, follows the new text.
+    ``n_chars``, where there is one, follows the new text.
     """
-    live = judge(docs, owner).select("doc_id", _chosen()[2].alias("_live")).filter(F.size("_live") > 0)
-    df = docs.join(live, "doc_id", "left")
-    df = df.withColumn("text", F.when(F.col("_live").isNotNull(), spans.replaced(F.coalesce("text", F.lit("")), F.col("_live"), mark)).otherwise(F.col("text")))
+    book = materialize(candidates(docs, owner), "secrets")
+    live = judge(book).select(*ROW, _chosen()[2].alias("live")).filter(F.size("live") > 0).dropDuplicates(list(ROW))
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("whole")
+    df = _keyed(docs, whole).join(live, list(ROW), "left")
+    found = F.col("live").isNotNull()
+    df = df.select("whole", found.alias("found"), F.when(found, spans.replaced(F.col("whole.text"), F.col("live"), mark)).alias("text"))
+    made = {"text": F.when(F.col("found"), F.col("text")).otherwise(F.col("whole.text"))}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.col("_live").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(F.col("found"), size).otherwise(F.col("whole.n_chars"))
+    return df.select(*(made.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, owner: str = "source") -> DataFrame:
     """Counts and digests of the spans of each document."""
     base, added, live = _chosen()
-    book = judge(docs, owner)
+    book = judge(materialize(candidates(docs, owner), "secrets"))
     return book.select(
-        "doc_id",
+        ids.together("doc_id"),
         *(F.size(f"_k{i}").cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)),
         F.sha2(spans.joined(base, NAMES), 256).alias("base_sha256"),
         spans.joined(F.concat(base, added), NAMES).alias("spans"),

@@ -11,8 +11,10 @@ reads back exactly. The loss mask covers the escaped texts of assistant messages
 
 Defined cases: a null text is empty, a null role is the empty role; events of a message that was
 never opened open it with their role; equal ``seq`` are taken by message, kind, role, text; an
-event of an unknown kind has no effect; rows of a table that repeat are turns of their own.
-One conversation is one string in the output, so one task holds one conversation at a time.
+event of an unknown kind has no effect; rows of a table that repeat are turns of their own;
+events without conv_id are one conversation without one; very long texts are taken whole; other
+columns, whatever their names, are ignored; an empty log gives an empty result. One conversation
+is one string in the output, so one task holds one conversation at a time.
 """
 
 from __future__ import annotations
@@ -23,15 +25,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.llm import ids
+
 HEAD, COLON, TAIL = "### ", ": ", "</turn>\n"
 LEARNED = "assistant"
 EVENT = "seq long, message long, kind string, role string, text string"
-RENDERED = "conv_id long, formatted string, mask array<struct<start:long,end:long>>"
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+RENDERED = f"{ids.SCHEMA}, formatted string, mask array<struct<start:long,end:long>>"
+DIGEST = f"{ids.SCHEMA}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
@@ -99,25 +103,48 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def as_log(conversations: DataFrame) -> DataFrame:
-    """A table of turns as the log it would have been streamed as: opened, then two deltas."""
+    """A table of turns as the log it would have been streamed as.
+
+    Messages take four histories in turn: streamed in two deltas; a draft that is regenerated;
+    a draft that is edited; streamed, with a message between that is dropped.
+    """
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    df = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
+    text = F.coalesce("text", F.lit("")).alias("text")
+    df = conversations.select("conv_id", "turn", "role", text).withColumn("message", F.row_number().over(order).cast("long"))
     half = F.floor(F.length("text") / 2).cast("int")
-    steps = [("open", F.lit(None).cast("string")), ("delta", F.substr("text", F.lit(1), half)), ("delta", F.substr(F.col("text"), half + 1, F.length("text")))]
-    events = F.array(*(F.struct((F.col("message") * 4 + i).alias("seq"), F.lit(kind).alias("kind"), text.alias("text")) for i, (kind, text) in enumerate(steps)))
-    return df.select("conv_id", "message", "role", F.explode(events).alias("e")).select("conv_id", "e.seq", "message", "e.kind", "role", "e.text")
+    first, rest = F.substr("text", F.lit(1), half), F.substr(F.col("text"), half + 1, F.length("text"))
+    none, own, other = F.lit(None).cast("string"), F.col("message"), -F.col("message")
+    streamed = [("open", own, none), ("delta", own, first), ("delta", own, rest)]
+    histories = (
+        streamed,
+        [("open", own, none), ("delta", own, rest), ("regenerate", own, none), *streamed[1:]],
+        [("open", own, none), ("delta", own, first), ("edit", own, F.col("text"))],
+        [streamed[0], ("open", other, none), streamed[1], ("delta", other, rest), ("drop", other, none), streamed[2]],
+    )
+    longest = max(map(len, histories))
+
+    def events(history: list) -> Column:
+        made = [F.struct((own * longest + i).alias("seq"), message.alias("message"), F.lit(kind).alias("kind"), part.alias("text")) for i, (kind, message, part) in enumerate(history)]
+        return F.array(*made)
+
+    chosen = events(histories[0])
+    for k, history in enumerate(histories[1:], 1):
+        chosen = F.when(F.pmod(own, F.lit(len(histories))) == k, events(history)).otherwise(chosen)
+    return df.select("conv_id", "role", F.explode(chosen).alias("e")).select("conv_id", "e.seq", "e.message", "e.kind", "role", "e.text")
 
 
 def _rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         made = [render(fold((e["seq"], e["message"], e["kind"], e["role"], e["text"]) for e in events)) for events in batch["events"]]
-        yield pd.DataFrame({"conv_id": batch["conv_id"], "formatted": [f for f, _ in made], "mask": [[{"start": a, "end": b} for a, b in m] for _, m in made]})
+        masks = [[{"start": a, "end": b} for a, b in m] for _, m in made]
+        yield batch[["missing", "id"]].assign(formatted=[f for f, _ in made], mask=masks)
 
 
 def format_log(log: DataFrame) -> DataFrame:
-    """One row of ``RENDERED`` per conversation of a log."""
+    """``conv_id``, ``formatted`` and ``mask`` per conversation of a log."""
     event = F.struct("seq", "message", "kind", "role", "text")
-    return log.groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("events")).mapInPandas(_rendered, RENDERED)
+    each = log.groupBy("conv_id").agg(F.sort_array(F.collect_list(event)).alias("events")).select(*ids.apart("conv_id"), "events")
+    return each.mapInPandas(_rendered, RENDERED).select(ids.together("conv_id"), "formatted", "mask")
 
 
 @dataclass(frozen=True)
@@ -125,19 +152,23 @@ class _Digest:
     """Reads formatted conversations back."""
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in DIGEST.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([self.row(*x) for x in zip(batch["conv_id"], batch["formatted"], batch["mask"], strict=True)], columns=[c.split()[0] for c in DIGEST.split(", ")])
+            rows = zip(*(batch[c].tolist() for c in ("missing", "id", "formatted", "mask")), strict=True)
+            yield pd.DataFrame([(missing, conv_id, *self.row(formatted, mask)) for missing, conv_id, formatted, mask in rows], columns=names)
 
     @staticmethod
-    def row(conv_id, formatted, mask) -> tuple:
+    def row(formatted, mask) -> tuple:
         turns = parse(formatted)
         loss = "".join(unescape(formatted[m["start"] : m["end"]]) for m in mask)
         sha = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-        return conv_id, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(formatted)
+        return len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(formatted)
 
 
 def report(rendered: DataFrame) -> DataFrame:
-    return rendered.mapInPandas(_Digest(), DIGEST)
+    """Digests of formatted conversations, read back from them."""
+    made = rendered.select(*ids.apart("conv_id"), "formatted", "mask").mapInPandas(_Digest(), DIGEST)
+    return made.select(ids.together("conv_id"), *(c for c in made.columns if c not in ("missing", "id")))
 
 
 def probe(conversations: DataFrame) -> DataFrame:

@@ -23,6 +23,17 @@ def test_fold():
     assert chat.fold(log) == [("user", "hi"), ("assistant", "yes")]
 
 
+def test_every_history_passes(spark):
+    """The log of a table holds edits, regenerations and drops, and folds to the table's texts."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text {k} of \u00e9") for k in range(12)]
+    rows += [(None, k, "user", f"{k}") for k in range(5)] + [(2**60 + 1, 0, "user", "x")]
+    log = chat.as_log(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"open", "delta", "regenerate", "edit", "drop"}
+    made = {r.conv_id: chat.parse(r.formatted) for r in chat.format_log(log).collect()}
+    assert made == {i: [(role, t) for j, _, role, t in rows if i == j] for i in (1, None, 2**60 + 1)}
+    assert {r.conv_id for r in chat.report(chat.format_log(log)).collect()} == set(made)
+
+
 def test_conversations(spark):
     rows = [(1, 2, "user", "b"), (1, 1, "assistant", "A\u00e9"), (1, 3, "assistant", None), (2, 1, None, ""), (3, 1, "user", "x"), (3, 1, "user", "x"), (4, None, "assistant", "y" * 100_000)]
     table = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, events int")
@@ -56,16 +67,53 @@ def test_scan_resynchronises():
     clean = mpeg.scan(media)
     assert clean.payload == payload and clean.table[0] == 4 and not clean.bad
     cut = clean.offsets[1]
-    assert mpeg.seek(clean, 1152) == cut
+    assert mpeg.seek(clean, 1152) == cut and mpeg.seek(clean, clean.samples) is None
     hurt = mpeg.scan(media[:cut] + b"\xff\xfb\xff junk \xff" + media[cut:] + b"TAG" + bytes(125))
     assert hurt.payload == payload and hurt.skipped == 10
     flipped = bytearray(media)
     flipped[clean.offsets[2] + 8] ^= 1
     assert mpeg.scan(bytes(flipped)).bad == 1
-    assert not mpeg.scan(b"").offsets and not mpeg.scan(b"no frames at all").offsets
-
-
-@pytest.mark.parametrize(("bits", "size"), [(b"\xff\xfb\x90\x00", 417), (b"\xff\xfb\x92\x00", 418), (b"\xff\xf3\x84\xc0", 192), (b"\xff\xe3\x84\xc0", 384)])
+    for bare in (b"", b"no frames at all", b"ID3", b"\xff\xfb\x90\x00"):
+        empty = mpeg.scan(bare)
+        assert not empty.offsets and mpeg.seek(empty, 0) is None and empty.length == 0
+        assert mpeg.feature(empty).startswith("frames=0;duration=0/1;kbits=none;")
+
+
+def test_variable_bitrate_and_layers():
+    """Frames of several sizes behind a VBRI table and an unsynchronised tag; offsets and durations are exact."""
+    rng = random.Random(4)
+    for version, layer in ((1, 3), (2, 3), (25, 3), (1, 2), (1, 1), (2, 1)):
+        rates = (mpeg.RATES_1 if version == 1 else mpeg.RATES_2)[layer]
+        make = lambda k: mpeg.Header(version, layer, False, 48000 // {1: 1, 2: 2, 25: 4}[version], k, rng.random() < 0.5, False)  # noqa: B023, E731
+        frames = [make(rng.choice(rates[2:])) for _ in range(40)]
+        body = b"".join(h.bits.ljust(h.size, b"\0") for h in frames)
+        table = b""
+        if layer == 3:
+            top = make(rates[14])
+            table = top.bits.ljust(36, b"\0") + b"VBRI" + bytes(6) + (9).to_bytes(4, "big") + (40).to_bytes(4, "big") + (2).to_bytes(2, "big") + bytes(2) + (1).to_bytes(2, "big") + bytes(2) + b"ab"
+            table = table.ljust(top.size, b"\0")
+        title = b"TIT2" + (4).to_bytes(4, "big") + b"\0\0" + b"\0\xff\0x"
+        tag = title.replace(b"\xff", b"\xff\0")
+        data = b"ID3\x03\0\x80" + bytes([0, 0, 0, len(tag)]) + tag + table + body
+        found = mpeg.scan(data)
+        at, want = len(data) - len(body), []
+        for h in frames:
+            want.append(at)
+            at += h.size
+        assert found.offsets == want and found.samples == 40 * frames[0].samples and found.skipped == 0
+        assert found.table == ((40, 9, b"ab") if layer == 3 else None) and "kbits=variable" in mpeg.feature(found)
+        assert [mpeg.seek(found, k * frames[0].samples + 5) for k in range(40)] == want
+
+
+def test_any_bytes(spark):
+    rng = random.Random(9)
+    media = [None, b"", b"\xff" * 5000, *(bytes(rng.choice(b"\xff\xfb\x90\x00ID3TXing") for _ in range(rng.randrange(3000))) for _ in range(60))]
+    table = spark.createDataFrame([(i if i % 2 else None, m) for i, m in enumerate(media)], "doc_id long, media binary")
+    got = mpeg.features(table).collect()
+    assert len(got) == len(media) and all(r.media_bytes >= 0 and f"frames={len(r.offsets)};" in r.feature for r in got)
+
+
+@pytest.mark.parametrize(("bits", "size"), [(b"\xff\xfb\x90\x00", 417), (b"\xff\xfb\x92\x00", 418), (b"\xff\xf3\x84\xc0", 192), (b"\xff\xe3\x84\xc0", 384), (b"\xff\xfd\x90\x00", 522), (b"\xff\xff\x90\x00", 312)])
 def test_frame_sizes(bits, size):
     assert mpeg.header(bits, 0).size == size
 

@@ -3,7 +3,8 @@
 Pages are written as WARC records into ZIP packages of about ``PACKAGE`` bytes, each with a
 stored archive member and a stored index member. Of pages with equal payloads the one with the
 largest page_id is the response; the others are revisit records that refer to it. The packages
-are rows of a table, so they live on any store that Spark writes. The reader parses the end
+are rows of a table, so they live on any store that Spark writes (Python workers reach a store
+through Spark only; ``ranges`` serves files that they can open). The reader parses the end
 record, the ZIP64 locator and the central directory, finds the stored members, and reads single
 records by their ranges in the index.
 
@@ -11,9 +12,10 @@ Which payloads repeat is counted over all pages and joined back salted, so pages
 one payload spread over ``SALTS`` tasks.
 
 Defined cases: a null html is an empty payload; payloads under ``LEAST`` bytes are all responses;
+very long pages are one record, in a package of its own size; ties, that is
 equal rows, page_id and payload alike, are each written and, where largest, each a response; a
 null page_id is kept and is never a response that others refer to; a null url has no target URI;
-other columns are ignored; an empty table gives no packages.
+other columns, whatever their names, are ignored; an empty table gives no packages.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import json
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +40,8 @@ SALTS = 64
 LEAST = 0
 ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
 PACKED = "package binary"
-READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Ids are decimal digits on their way through pandas, which has no integers with nulls.
+READ = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 _EPOCH = (2024, 1, 1, 0, 0, 0)
 
 
@@ -45,11 +49,11 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
+def _urn(page_id: str | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP header and leaves the payload out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -125,6 +129,24 @@ def directory(read: Read, size: int) -> dict[str, tuple[int, int]]:
     return found
 
 
+def ranges(file: BinaryIO) -> tuple[Read, int]:
+    """Range reads of an open file of any file system, and its size; nothing else is read."""
+    size = file.seek(0, io.SEEK_END)
+
+    def read(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return read, size
+
+
+def one(read: Read, size: int, k: int) -> bytes:
+    """Record number k of a package, reading the directory, the index and that record only."""
+    members = directory(read, size)
+    entry = json.loads(read(*members[INDEX]).decode().split("\n")[k])
+    return read(members[ARCHIVE][0] + entry["offset"], entry["length"])
+
+
 def records(read: Read, size: int) -> Iterator[bytes]:
     """The records of a package, each read by its range in the index."""
     members = directory(read, size)
@@ -136,7 +158,7 @@ def records(read: Read, size: int) -> Iterator[bytes]:
             yield read(base + entry["offset"], entry["length"])
 
 
-def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
+def parse(data: bytes) -> tuple[str | None, int, str, str, str | None]:
     """A row of ``READ``; a response's payload is checked against its digest."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -144,21 +166,17 @@ def parse(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     http, _, payload = block.partition(b"\r\n\r\n")
     n = int(next(line.split(b": ")[1] for line in http.split(b"\r\n") if line.startswith(b"Content-Length")))
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda urn: None if urn is None or "null" in urn else int(urn.strip("<>").rpartition(":")[2])
+    number = lambda urn: None if urn is None or "null" in urn else urn.strip("<>").rpartition(":")[2]
     if fields["WARC-Type"] == "response" and (len(payload) != n or base32_sha1(payload) != digest):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
     return number(fields["WARC-Record-ID"]), n, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To"))
 
 
-def _integer(v) -> int | None:
-    return None if pd.isna(v) else int(v)
-
-
 def _packages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held, n = [], 0
     for batch in batches:
         for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
-            held.append(record(_integer(page_id), url, html.encode(), _integer(refers_to)))
+            held.append(record(page_id, url, html.encode(), refers_to))
             n += len(held[-1])
             if n >= PACKAGE:
                 yield pd.DataFrame({"package": [package(held)]})
@@ -173,7 +191,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for data in batch["package"]:
             view = memoryview(data)
             rows = [parse(r) for r in records(lambda at, n, v=view: bytes(v[at : at + n]), len(view))]
-            yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
 
 def judged(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -190,8 +208,13 @@ def judged(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Packages of the records of all pages, written to the shared folder."""
-    return materialize(judged(pages, least).mapInPandas(_packages, PACKED), "warc")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    rows = judged(pages, least).select(text("page_id"), "url", "html", text("refers_to"))
+    return materialize(rows.mapInPandas(_packages, PACKED), "warc")
 
 
 def read_back(packages: DataFrame) -> DataFrame:
-    return packages.mapInPandas(_records, READ)
+    """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` of all records."""
+    whole = lambda c: F.col(c).cast("long").alias(c)
+    made = packages.mapInPandas(_records, READ)
+    return made.select(whole("page_id"), "payload_bytes", "payload_digest", "record_type", whole("refers_to"))

@@ -27,7 +27,7 @@ def test_pages(spark):
 
 
 def test_package_is_a_zip_read_by_ranges():
-    records = [warc.record(i, "u", bytes(range(256)) * i, None) for i in range(50)]
+    records = [warc.record(str(i), "u", bytes(range(256)) * i, None) for i in range(50)]
     data = warc.package(records)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         assert z.testzip() is None and z.read(warc.ARCHIVE) == b"".join(records)
@@ -39,6 +39,9 @@ def test_package_is_a_zip_read_by_ranges():
 
     assert list(warc.records(read, len(data))) == records
     assert sum(asked) < 2 * len(data)
+    asked.clear()
+    assert warc.one(read, len(data), 49) == records[49] and sum(asked) < len(records[49]) + 5000 + 65557
+    assert list(warc.records(*warc.ranges(io.BytesIO(data)))) == records
     with pytest.raises(ValueError):
         warc.directory(lambda at, n: b"", 0)
 
@@ -76,18 +79,20 @@ def slow_length(texts, text, order, symbols_seen):
     return sum(-math.log2(p(full[i - order : i], full[i])) for i in range(order, len(full)))
 
 
-def test_code_lengths_match_the_tree():
-    texts = {"x": [b"abab\nabc", b"aab"], "y": [b"bbc\xc3\xa9"]}
-    model = language.fit(texts, 2)
-    probe = [b"abc", b"\xc3\xa9zab", b"~~", b"a\n"]
-    got = language.lengths(model, probe)
-    for j, name in enumerate(model.languages):
-        for i, t in enumerate(probe):
-            assert got[i, j] == pytest.approx(slow_length(texts[name], t, 2, None), rel=1e-4)
-    every = language.tree(texts["x"], model.symbols, 2).reshape(-1, model.n)
-    weight = np.ones(model.n)
-    weight[0] = 256 - (model.n - 1)
-    assert np.allclose((np.exp2(-every) * weight).sum(axis=1), 1)
+@pytest.mark.parametrize("order", [0, 2, 4])
+def test_code_lengths_match_the_tree(order, monkeypatch):
+    texts = {"x": [b"abab\nabc abab", b"aab"], "y": [b"bbc\xc3\xa9"], "z": [bytes(range(256)) * 2]}
+    model = language.fit({k: language.Tree.unpack(language.tree(t, order).pack()) for k, t in texts.items()})
+    probe = [b"abc", b"\xc3\xa9zab", b"~~", b"a\n", b"abab\nabcabab" * 5]
+    for stretch in (1 << 19, 7):
+        monkeypatch.setattr(language, "STRETCH", stretch)
+        got = language.lengths(model, probe)
+        for j, name in enumerate(model.languages):
+            for i, t in enumerate(probe):
+                assert got[i, j] == pytest.approx(slow_length(texts[name], t, order, None), rel=1e-4)
+    for context in (b"abab", b"zzzz", b"\xc3\xa9ab"):  # a context's bytes have probability 1 together
+        windows = np.array([int.from_bytes(context[4 - order :] + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
+        assert np.allclose(np.exp2(-model.lookup(windows, order).astype(float)).sum(axis=0), 1, atol=1e-4)
 
 
 def test_predictions(spark):
@@ -106,21 +111,31 @@ def test_predictions(spark):
     assert language.report(docs.limit(0)).count() == 0
 
 
-def test_every_language_is_learned(spark):
-    """More labels than a pass scores: as if all were scored at once, the rarest too."""
+def test_every_language_is_learned(spark, monkeypatch):
+    """More labels than a table and a pass hold: as if all were scored at once, the rarest too."""
     rng = random.Random(8)
-    names = [f"l{k:02d}" for k in range(language.LANGUAGES + 3)]
+    monkeypatch.setattr(language, "TABLES", 30_000)
+    names = [f"l{k:02d}" for k in range(40)]
     own = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(4)] for k in names}
     rows = [(i, " ".join(rng.choice(own[k]) for _ in range(12)), k) for i, k in enumerate(n for j, n in enumerate(names) for _ in range(12 if j else 8))]
     rows += [(None, " ".join(own["l34"]), None), (2**60 + 1, " ".join(own["l00"]), None), (2000, "1 2", "l03")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(list(language.models(docs))) > 1
     got = {r.doc_id: r for r in language.report(docs).collect()}
     assert len(got) == len(rows)
     texts = {k: [t.encode() for i, t, lang in rows if lang == k and zlib.crc32(str(i).encode()) % 4 != 2] for k in names}
-    bits = language.lengths(language.fit(texts), [t.encode() for _, t, _ in rows])
+    bits = language.lengths(language.fit({k: language.tree(t) for k, t in texts.items()}), [t.encode() for _, t, _ in rows])
     for (i, t, k), b in zip(rows, bits, strict=True):
         if t != "1 2":
             assert got[i].lang_pred == names[b.argmin()]
             assert got[i].score == pytest.approx(1 / np.exp2(b.min() - b).sum(), rel=1e-3)
             assert k is None or got[i].lang_pred == k
     assert got[None].lang_pred == "l34" and got[2**60 + 1].lang_pred == "l00" and got[2000].lang_pred == "und"
+
+
+def test_all_byte_values_stay_small():
+    rng = random.Random(3)
+    noise = [bytes(rng.randrange(256) for _ in range(50_000)) for _ in range(4)]
+    model = language.fit({f"n{k}": language.tree([t]) for k, t in enumerate(noise)})
+    assert sum(a.nbytes for a in (*model.bits, *model.windows, *model.escapes, *model.contexts)) < 100 << 20
+    assert language.lengths(model, noise).argmin(axis=1).tolist() == [0, 1, 2, 3]

@@ -5,9 +5,13 @@ failed rule; a versioned policy is a set of rules, hence a mask, so applying or
 policies never reads the texts again. Ablations count documents by masked bits: a bounded
 histogram from which the effect of dropping any rule follows by bitwise logic.
 
+The report applies both versions of the policy and gives, as a row's part in the ablation, the
+rule that alone rejects it under the newer one.
+
 Defined cases: a null or empty text has no words and all measurements 0, so it fails
-``few_words``; long texts are measured whole; repeated rows and repeated ids are measured row
-by row; other columns of the input, whatever their names, are ignored.
+``few_words``; long texts are measured whole; repeated rows, repeated ids and rows without doc_id are measured row
+by row; a share equal to its limit doesn't fail; other columns of the input, whatever their names, are ignored; an
+empty table gives an empty ledger and an ablation of zeros.
 """
 
 from __future__ import annotations
@@ -127,8 +131,8 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] | N
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.failed(), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    # the row number keeps filters on the bits above the measurements: pushed below, they would repeat them
-    return measure(docs, keep).withColumn("fail_bits", F.when(F.monotonically_increasing_id() >= 0, bits))
+    # generated, the bits keep filters on them above the measurements: pushed below, they would repeat them
+    return measure(docs, keep).select("*", F.explode(F.array(bits)).alias("fail_bits"))
 
 
 def fails(policy: Policy) -> Column:
@@ -136,6 +140,15 @@ def fails(policy: Policy) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) != 0
 
 
+def sole(policy: Policy) -> Column:
+    """The one rule of a policy that a ledger row fails; null if it fails none or several."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
+    found = F.lit(None).cast("string")
+    for name in policy.rules:
+        found = F.when(bits == 1 << BITS[name], F.lit(name)).otherwise(found)
+    return found
+
+
 def ablation(book: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per rule of a policy: documents it fails, and those that only it fails.
 
@@ -157,9 +170,10 @@ def keep_clean(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataFrame:
     return ledger(named, keep=["_row"]).filter(~fails(policy)).select("_row.*")
 
 
-def report(docs: DataFrame, policy: Policy = POLICIES["v2"]) -> DataFrame:
-    """Digest of the ledger with the verdicts of the base rules and of a policy."""
+def report(docs: DataFrame, policy: Policy = POLICIES["v2"], before: Policy = POLICIES["v1"]) -> DataFrame:
+    """Digest of the ledger with the verdicts of the base rules and of two versions of a policy."""
+    base = fails(BASE)
     return ledger(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        fails(BASE).alias("base_failed"), (~fails(BASE) & ~fails(policy)).alias("kept"), "fail_bits",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
+        (~base & ~fails(policy)).alias("kept"), (~base & ~fails(before)).alias("kept_before"), sole(policy).alias("sole_rule"), "fail_bits",
     )

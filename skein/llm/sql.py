@@ -31,7 +31,10 @@ b AS (
   FROM g
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS fail_bits
+       bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits & 7 = 0 AS kept_before,
+       CASE bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'capitals'
+         WHEN 16 THEN 'repeated_lines' WHEN 32 THEN 'short_words' WHEN 64 THEN 'long_words' END AS sole_rule,
+       bits::BIGINT AS fail_bits
 FROM b
 """
 

@@ -42,6 +42,10 @@ def test_policies_and_ablation(spark):
     for name, bit in quality.BITS.items():
         bits = [r.fail_bits for r in book.collect()]
         assert got[name] == (sum(b >> bit & 1 for b in bits), sum(b == 1 << bit for b in bits))
+    seen = quality.report(docs).collect()
+    assert {r.sole_rule for r in seen if r.fail_bits and not r.fail_bits & (r.fail_bits - 1)} <= set(quality.BITS)
+    assert all((r.sole_rule is None) == (bin(r.fail_bits).count("1") != 1) for r in seen)
+    assert {r.doc_id for r in seen if r.kept_before} >= {r.doc_id for r in seen if r.kept} == kept
 
 
 def test_empty(spark):

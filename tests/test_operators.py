@@ -133,15 +133,15 @@ def test_reid_scores(spark):
     assert metrics.reid(ranked.limit(0)).first().map == 0
 
 
-def test_blocks_give_the_exact_neighbours(spark):
+def test_chunks_give_the_exact_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(300, 6))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
-    q, g = search.blocks(df.filter("vec_id < 9"), "vec_id", "embedding", 4), search.blocks(df, "vec_id", "embedding", 64)
-    hits = search._paired(q, g).mapInPandas(search._TopK(5, "cosine"), search.HITS).toPandas()
+    monkeypatch.setattr(search, "CHUNK", 4 * 6 * 8)
+    hits = search.knn_sets(df.filter("vec_id < 9"), df.repartition(5), 5).toPandas()
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     for i in range(9):
-        best = hits[hits.query_id == i].sort_values(["score", "item_id"]).item_id.head(5).tolist()
+        best = hits[hits.query_id == i].sort_values("rank").item_id.tolist()
         assert best == np.argsort(1 - u @ u[i], kind="stable")[:5].tolist()
 
 

@@ -279,6 +279,13 @@ def keyed_tracks(registry: DataFrame) -> DataFrame:
     return registry.withColumn("key", F.concat_ws(":", "feed", "track_id"))
 
 
+def feeds(listing: DataFrame, scene: str) -> DataFrame:
+    """``camera, path`` of the videos of a scene, from a listing of scene/camera/name paths."""
+    path = F.col("path")
+    inside = path.rlike(rf"(?i)/{scene}/c\d+/[^/]+\.(avi|mp4|mkv|mov)$")
+    return listing.filter(inside).select(F.regexp_extract(path, rf"/{scene}/(c\d+)/", 1).alias("camera"), "path")
+
+
 def truth(spark: SparkSession, feeds: dict[str, str], max_frames: int | None = None) -> DataFrame:
     """Ground truth of several feeds, each a headerless CSV file, up to a frame."""
     made = None

@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.__main__ import main as command
 from skein.functions import naming
 from skein.operators import fusion, identity, metrics, profiles, ranking, retrieval, search, temporal, tracks
 from skein.operators.components import components
-from skein.plans import stages
+from skein.plans import reports, stages
 from skein.sources import files, ingest, schemas
+from skein.streaming import lifecycle
 
 
 def test_best_pairs_match_dense_assignment():
@@ -261,4 +263,42 @@ def test_stages(spark):
 def test_small_names(spark):
     one = spark.range(1).select(naming.asked_camera(F.lit("clip3.mp4")), naming.asked_camera(F.lit("door.mp4")), naming.clock(F.lit(3725.9)), naming.normal_camera(F.lit(" 4 ")), naming.normal_camera(F.lit("North Gate"))).first()
     assert tuple(one) == ("cam_3", "door", "01:02:05", "cam_4", "north_gate")
-    assert math.isclose(1.0, 1.0)
+
+
+def test_greedy_matches(spark):
+    r = random.Random(6)
+    rows = [(f"a{i}", f"b{j}", round(r.random(), 1)) for i in range(12) for j in range(12) if r.random() < 0.4]
+    pairs = spark.createDataFrame(rows, "a string, b string, similarity double")
+    assert sorted(map(tuple, identity.greedy_matches(pairs).collect())) == sorted(identity.greedy(rows))
+    assert identity.greedy_matches(pairs.limit(0)).count() == 0
+    m = spark.createDataFrame([("f", "g", "c", 1, 2, 0.5), ("f", "g", "c", 3, 4, 0.9)], identity.MATCHED)
+    assert [x.track_a for x in identity.best_first(m, 1).collect()] == [3] and identity.best_first(m).count() == 2
+
+
+def test_ensemble_of_models(spark):
+    df = spark.createDataFrame([(1, [2.0, 0.0]), (1, [0.0, 5.0]), (2, [3.0, 4.0])], "k int, embedding array<double>")
+    got = {r.k: r.embedding for r in fusion.ensemble(df, "k").collect()}
+    assert got[1] == pytest.approx([math.sqrt(0.5)] * 2) and got[2] == pytest.approx([0.6, 0.8])
+
+
+def test_histories_of_events(spark):
+    rows = [("f", k, 1, i, float(i), 0.0, 0.0, 1.0, 1.0, 0.9, 0.5) for i, k in enumerate(("created", "updated", "lost", "recovered", "terminated"))]
+    (r,) = lifecycle.histories(spark.createDataFrame(rows, lifecycle.EVENTS)).collect()
+    assert [h.frame for h in r.history] == [0, 1, 3] and r.ended == 4.0
+    tracker = lifecycle.Tracker()
+    tracker.step(1, 1.0, [{"box": [0, 0, 9, 9], "score": 0.9, "vector": []}])
+    tracker.reset()
+    assert tracker.tracks == [] and tracker.next_id == 1
+
+
+def test_reports_and_feeds(spark, tmp_path, capsys):
+    one = spark.createDataFrame([(1.5, 3)], "a double, n int")
+    reports.write(str(tmp_path / "r"), "Scores", {"base": one, "fused": one.select("a")})
+    assert json.loads((tmp_path / "r" / "report.json").read_text())["base"] == {"a": 1.5, "n": 3}
+    assert "| n | 3 |  |" in (tmp_path / "r" / "report.md").read_text() and "a" in (tmp_path / "r" / "report.txt").read_text()
+    with pytest.raises(ValueError):
+        reports.measures(one.union(one))
+    listing = spark.createDataFrame([("/d/S06/c041/vdo.avi",), ("/d/S05/c010/vdo.avi",), ("/d/S06/c041/note.txt",)], "path string")
+    assert [r.camera for r in ingest.feeds(listing, "S06").collect()] == ["c041"]
+    command([])
+    assert "knn_topk" in capsys.readouterr().out

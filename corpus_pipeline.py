@@ -4,6 +4,14 @@ Each stage takes all rows that the stage before kept and, but for the last, retu
 of ``documents``: documents that the quality rules reject go; one document of each group of near
 duplicates stays; live-looking secrets are redacted in the texts; the mix repeats or leaves out
 documents so that sources come near their target weights; the last stage packs.
+
+Defined cases, of every stage: texts are taken whole. Null and empty texts have no words, so the
+quality rules reject them; the near-duplicate stage keeps one of each doc_id and all without one,
+and the others keep them all. Rows without doc_id are rows like others. Repeated rows are measured
+and redacted each, are one of one group of duplicates (equal rows stay once), are mixed and
+packed each. Of a group of duplicates that with the least doc_id stays, one without doc_id last, ties
+by the hash of the text. A null source is a source, and an owner, of its own. Columns may have
+any other names and pass through. An empty table gives an empty table.
 """
 
 from __future__ import annotations

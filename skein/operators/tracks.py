@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from skein.functions import geometry, vectors
+from skein.session import spread
 
 KEY = ["track_id"]
 
@@ -156,6 +157,10 @@ def _wrapped(a: float) -> float:
     return abs((a + math.pi) % (2 * math.pi) - math.pi)
 
 
+#: Rows that are looked at one by one.
+SHORT = 24
+
+
 def segments(t: np.ndarray, xy: np.ndarray, turn: float = 0.5, speed_change: float = 0.4, error: float = 8.0, least: int = 3) -> list[tuple[int, int]]:
     """First and last row of each stretch of steady heading, speed and straightness.
 
@@ -167,26 +172,28 @@ def segments(t: np.ndarray, xy: np.ndarray, turn: float = 0.5, speed_change: flo
         return [(0, n - 1)] if n else []
     v = np.diff(xy, axis=0) / np.maximum(np.diff(t), 1e-6)[:, None]
     v = np.vstack([v, v[-1]])
-    heading, speed = np.arctan2(v[:, 1], v[:, 0]), np.hypot(v[:, 0], v[:, 1])
+    heading, speed = np.arctan2(v[:, 1], v[:, 0]).tolist(), np.hypot(v[:, 0], v[:, 1]).tolist()
 
     # sums over the rows before each, by which a stretch's line needs no pass over it
     shifted = t - t[0]
     centred = xy - xy.mean(axis=0)
-    sums = np.vstack([np.zeros(6), np.cumsum(np.column_stack([shifted, shifted**2, centred, shifted[:, None] * centred]), axis=0)])
+    sums = np.vstack([np.zeros(6), np.cumsum(np.column_stack([shifted, shifted**2, centred, shifted[:, None] * centred]), axis=0)]).tolist()
+    ts, xs, ys = shifted.tolist(), centred[:, 0].tolist(), centred[:, 1].tolist()
 
     def breaks(first: int, row: int) -> bool:
         if _wrapped(heading[row] - heading[first]) > turn or abs(speed[row] - speed[first]) / max(1.0, speed[first]) > speed_change:
             return True
         k = row + 1 - first
-        st, stt, sx, sy, stx, sty = (sums[row + 1] - sums[first]) / k
+        st, stt, sx, sy, stx, sty = ((b - a) / k for a, b in zip(sums[first], sums[row + 1], strict=True))
         spread = stt - st * st
+        flat = spread <= 1e-12 * max(1.0, stt)
+        ux, uy = (0.0, 0.0) if flat else ((stx - st * sx) / spread, (sty - st * sy) / spread)
+        if k <= SHORT:  # a few rows are quicker without arrays
+            return any(
+                (xs[i] - sx - ux * (ts[i] - st)) ** 2 + (ys[i] - sy - uy * (ts[i] - st)) ** 2 > error * error for i in range(first, row + 1)
+            )
         part = shifted[first : row + 1] - st
-        if spread <= 1e-12 * max(1.0, stt):
-            slopes = (0.0, 0.0)
-        else:
-            slopes = ((stx - st * sx) / spread, (sty - st * sy) / spread)
-        off_x = centred[first : row + 1, 0] - sx - slopes[0] * part
-        off_y = centred[first : row + 1, 1] - sy - slopes[1] * part
+        off_x, off_y = centred[first : row + 1, 0] - sx - ux * part, centred[first : row + 1, 1] - sy - uy * part
         return bool((off_x * off_x + off_y * off_y).max() > error * error)
 
     cuts, row = [0], 1
@@ -209,19 +216,30 @@ def fit(t: np.ndarray, xy: np.ndarray) -> dict:
     """The model of one stretch: constant where it stands still, a line for few rows, else a cubic."""
     base = {"t0": float(t[0]), "t1": float(t[-1]), "knots": [], "mx": [], "my": []}
     if xy.var(axis=0).sum() < 1.0:
-        model = base | {"type": "constant", "x": [float(xy[:, 0].mean())], "y": [float(xy[:, 1].mean())]}
+        middle = xy.mean(axis=0)
+        model = base | {"type": "constant", "x": [float(middle[0])], "y": [float(middle[1])]}
+        off = xy - middle
     elif len(t) <= 3 or len(np.unique(t)) < len(t):
-        model = base | {"type": "linear", "x": list(line(t, xy[:, 0])), "y": list(line(t, xy[:, 1]))}
+        a, b = line(t, xy[:, 0]), line(t, xy[:, 1])
+        model = base | {"type": "linear", "x": list(a), "y": list(b)}
+        off = xy - np.column_stack([a[0] * t + a[1], b[0] * t + b[1]])
     else:
         bend = spline(t, xy)
         model = base | {"type": "spline", "x": xy[:, 0].tolist(), "y": xy[:, 1].tolist(), "knots": t.tolist(), "mx": bend[:, 0].tolist(), "my": bend[:, 1].tolist()}
-    model["max_error"] = float(np.hypot(*(positions([model], t) - xy).T).max())
+        off = np.zeros((1, 2))  # it goes through its knots
+    model["max_error"] = float(np.hypot(off[:, 0], off[:, 1]).max())
     return model
 
 
+def _line_of(model: dict) -> tuple[float, float, float, float]:
+    """Slope and value at time 0 of x, then of y; zeros for a cubic."""
+    if model["type"] == "constant":
+        return 0.0, model["x"][0], 0.0, model["y"][0]
+    return (*model["x"], *model["y"]) if model["type"] == "linear" else (0.0, 0.0, 0.0, 0.0)
+
+
 def positions(models: list[dict], at: np.ndarray, slope: bool = False) -> np.ndarray:
     """Places, or velocities, at some times: in the first stretch that holds a time, else in the nearest."""
-    out = np.empty((len(at), 2))
     starts, ends = np.array([m["t0"] for m in models]), np.array([m["t1"] for m in models])
     # stretches follow one another: the last that begins at or before a time, or the one before that ends there
     own = np.clip(np.searchsorted(starts, at, side="right") - 1, 0, len(models) - 1)
@@ -229,16 +247,17 @@ def positions(models: list[dict], at: np.ndarray, slope: bool = False) -> np.nda
     own = np.where((at <= ends[before]) & (at >= starts[before]), before, own)
     gap = at > ends[own]
     own = np.where(gap & (starts[after] - at < at - ends[own]) & (starts[after] > at), after, own)
-    for k in np.unique(own):
+    # constants and lines all at once, cubics one by one
+    plain = np.array([_line_of(m) for m in models])
+    rate, base = plain[:, 0::2][own], plain[:, 1::2][own]
+    out = rate if slope else rate * at[:, None] + base
+    cubic = np.array([m["type"] == "spline" for m in models])
+    for k in np.unique(own[cubic[own]]):
         m, rows = models[k], own == k
-        for axis, (values, bend) in enumerate(((m["x"], m.get("mx")), (m["y"], m.get("my")))):
-            values = np.asarray(values, dtype=float)
-            if m["type"] == "constant":
-                out[rows, axis] = 0.0 if slope else values[0]
-            elif m["type"] == "linear":
-                out[rows, axis] = values[0] if slope else np.polyval(values, at[rows])
-            else:
-                out[rows, axis] = spline_at(np.asarray(m["knots"], dtype=float), values, at[rows], None if bend is None else np.asarray(bend, dtype=float), slope)
+        knots = np.asarray(m["knots"], dtype=float)
+        for axis, (c, bend) in enumerate((("x", "mx"), ("y", "my"))):
+            known = m.get(bend)
+            out[rows, axis] = spline_at(knots, np.asarray(m[c], dtype=float), at[rows], None if known is None else np.asarray(known, dtype=float), slope)
     return out
 
 
@@ -344,7 +363,8 @@ def compressed(df: DataFrame) -> DataFrame:
         return pd.DataFrame([{"track_id": track["track_id"].iloc[0]} | compress(track)])[[c.split()[0] for c in COMPRESSED.replace(f"array<{SEGMENT}>", "x").split(", ")]]
 
     fine = df.filter(F.col("ts").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    return fine.select("track_id", "frame", "ts", "x", "y", "w", "h").groupBy("track_id").applyInPandas(one, COMPRESSED)
+    rows = spread(fine.select("track_id", "frame", "ts", "x", "y", "w", "h"), "track_id")
+    return rows.groupBy("track_id").applyInPandas(one, COMPRESSED)
 
 
 def reconstruct(models: DataFrame, times: DataFrame) -> DataFrame:

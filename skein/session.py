@@ -111,6 +111,15 @@ def discard(*frames: DataFrame) -> None:
             _remove(*entry)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to as many tasks as the session shuffles to.
+
+    For work that is heavy for its bytes, such as fitting models per key: Spark would else join
+    small partitions until few tasks are left.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -66,9 +66,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, paylo
     a = left.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), rows.alias("_row"))
     b = right.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), own.alias("_m"))
     both = a.unionByName(b, allowMissingColumns=True)
-    order = W.partitionBy(*keys).orderBy("_t", "_side", "_m")
-    back = F.last("_m", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    ahead = F.first("_m", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    # both sweeps look back, the second from the end: Spark computes a frame that ends with its partition anew for each row
+    order = ("_t", "_side", "_m")
+    swept = lambda *by: F.last("_m", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+    back, ahead = swept(*order), swept(*map(F.desc, order))
     both = both.withColumn("_b", back).withColumn("_a", ahead).filter("_side = 1")
     take_back = F.col("_a").isNull() | (F.col("_t") - F.col("_b.t") <= F.col("_a.t") - F.col("_t"))
     return both.withColumn("match", F.when(F.col("_b").isNotNull() & take_back, F.col("_b")).otherwise(F.col("_a"))).select("_row.*", "match")

@@ -116,6 +116,17 @@ def test_nearest_takes_the_earlier(spark):
     assert got == {(1, 10.0): "a", (1, 0.0): "a", (2, 5.0): None, (1, 99.0): "c"}
 
 
+def test_nearest_sweeps_a_long_key_once(spark):
+    rng = np.random.default_rng(3)
+    asked, known = rng.integers(0, 500, 300) / 4, np.sort(rng.integers(0, 500, 200) / 4)
+    left = spark.createDataFrame([(1, i, float(t)) for i, t in enumerate(asked)] + [(1, -1, None)], "k int, i int, t double")
+    right = spark.createDataFrame([(1, float(t), f"{t}") for t in known], "k int, t double, v string")
+    met = temporal.nearest(left, right, ["k"], "t", ["v"])
+    assert "unboundedfollowing" not in met._jdf.queryExecution().toString().lower()  # its cost is quadratic in the rows of a key
+    got = {r.i: r.match.v for r in met.collect() if r.i >= 0}
+    assert got == {i: f"{min(known, key=lambda x: (abs(x - t), x))}" for i, t in enumerate(asked)}
+
+
 def test_tracking_scores(spark):
     box = lambda f, i, x: ("f", f, i, x, 0.0, x + 10, 10.0)
     schema = "feed string, frame long, id long, x1 double, y1 double, x2 double, y2 double"
